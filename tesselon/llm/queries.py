@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tesselon.functions.keys import WHITE_SPACE, clean_key
 from tesselon.llm.cooccurrence import cooccurrence
+from tesselon.llm.leakage import leaks, removal_spans
 from tesselon.llm.packing import CAPACITY, pack_texts, text_sizes
 from tesselon.llm.splitting import LIMIT, split_texts
 from tesselon.llm.term_counts import term_counts
@@ -57,6 +58,18 @@ def p6_placed(spark: SparkSession, d: str) -> DataFrame:
     return placed.agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("pieces"), F.count("held").alias("overfull"))
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(_documents(spark, d), "doc_id", "text", spark.read.parquet(f"{d}/eval_items.parquet"), "item_id", "text")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p7_removal(spark: SparkSession, d: str) -> DataFrame:
+    return removal_spans(_leaks(spark, d), "doc_id")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return split_texts(_documents(spark, d), "doc_id", "text", only_long=True, with_text=False).where("piece = 0").select("doc_id")
 
@@ -73,7 +86,7 @@ def p8_whole(spark: SparkSession, d: str) -> DataFrame:
     return pieces.groupBy("doc_id").agg(F.max("last_token").alias("tokens"), F.min(kept).alias("kept"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(fresh)), lambda p: p["t"]), "")).alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p4_found, p4_pairs, p6_packing, p6_sizes, p6_placed, p8_found, p8_pieces, p8_whole)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p4_found, p4_pairs, p6_packing, p6_sizes, p6_placed, p7_found, p7_removal, p8_found, p8_pieces, p8_whole)}
 
 
 def _chars(text: str) -> str:
