@@ -8,6 +8,7 @@ from tesselon.functions.keys import WHITE_SPACE, clean_key
 from tesselon.llm.cooccurrence import cooccurrence
 from tesselon.llm.leakage import leaks, removal_spans
 from tesselon.llm.packing import CAPACITY, pack_texts, text_sizes
+from tesselon.llm.similar_vectors import similar_vectors
 from tesselon.llm.splitting import LIMIT, split_texts
 from tesselon.llm.term_counts import term_counts
 
@@ -28,6 +29,23 @@ def p2_terms(spark: SparkSession, d: str) -> DataFrame:
     return _terms(spark, d)
 
 
+#: Numbers in a vector of vector_artifacts.
+DIM = 64
+
+
+def _similar(spark: SparkSession, d: str, **options: float) -> DataFrame:
+    return similar_vectors(spark.read.parquet(f"{d}/vector_artifacts.parquet"), F.col("item_ids"), F.col("embeddings"), F.col("row_pos"), DIM, 10, **options)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    near = _similar(spark, d, min_cosine=0.92)
+    return near.select(F.least("item", "neighbour").alias("item_a"), F.greatest("item", "neighbour").alias("item_b")).distinct()
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return _similar(spark, d)
+
+
 def _together(spark: SparkSession, d: str, **limits: float) -> DataFrame:
     train = spark.read.parquet(f"{d}/train.parquet").where("rating is not null").select(clean_key("user_id").alias("u"), clean_key("parent_asin").alias("i")).where("u <> '' and i <> ''")
     return cooccurrence(train, F.col("u"), F.col("i"), **limits)
@@ -86,7 +104,7 @@ def p8_whole(spark: SparkSession, d: str) -> DataFrame:
     return pieces.groupBy("doc_id").agg(F.max("last_token").alias("tokens"), F.min(kept).alias("kept"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(fresh)), lambda p: p["t"]), "")).alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p4_found, p4_pairs, p6_packing, p6_sizes, p6_placed, p7_found, p7_removal, p8_found, p8_pieces, p8_whole)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_neighbours, p4_found, p4_pairs, p6_packing, p6_sizes, p6_placed, p7_found, p7_removal, p8_found, p8_pieces, p8_whole)}
 
 
 def _chars(text: str) -> str:
@@ -113,6 +131,11 @@ _SIZE = f"len(regexp_extract_all(coalesce(text, ''), '{_TOKEN}'))"
 SQL = {
     "p2_found": _TERMS + "select term, mark from marked where mark is not null",
     "p2_terms": _TERMS + "select term, occurrences, records, mark from marked",
+    "p3_found": """
+    with v as (select item_ids as item, arg_min(embeddings, row_pos) as v from vector_artifacts where embeddings is not null and len(embeddings) = 64 and list_max(list_transform(embeddings, lambda x: abs(x))) > 0 group by item_ids),
+    c as (select a.item as x, b.item as y, list_cosine_similarity(a.v::double[], b.v::double[]) as c from v a join v b on a.item <> b.item),
+    k as (select x, y, c from c qualify row_number() over (partition by x order by c desc) <= 10)
+    select distinct least(x, y) as item_a, greatest(x, y) as item_b from k where c >= 0.92""",
     "p4_found": _PAIRS + "select item_a, item_b from p where weight_count >= 5 and 10 * weight_count >= n_a + n_b - weight_count and weight_count * n_users >= 10 * n_a * n_b",
     "p4_pairs": _PAIRS + "select item_a, item_b, weight_count, n_a, n_b, round(weight_jaccard, 6) as weight_jaccard, round(lift, 4) as lift from p",
     "p6_sizes": f"select doc_id, {_SIZE} as tokens from documents",
