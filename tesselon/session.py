@@ -48,3 +48,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(os.path.join(shared_dir(df.sparkSession), "tesselon-" + uuid.uuid4().hex[:12]))
     return df.checkpoint(eager=True)
+
+
+def store_table(df: DataFrame) -> DataFrame:
+    """``df`` written once as a table in the shared folder and read from there; later reads survive lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/tesselon-tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
