@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tesselon.session import store_table
+
 #: Baskets up to this size are multiplied out in one row; larger ones are cut into chunks of about this many items.
 CHUNK = 256
 #: Items too frequent to reach the wanted lift are sent to all tasks only if they are no more than this.
@@ -36,7 +38,7 @@ def cooccurrence(df: DataFrame, basket: Column, item: Column, *, min_count: int
     A basket above ``chunk`` items is cut into item chunks by hash, and each pair of its chunks is a row of its own that
     any task can multiply out; no task holds a whole large basket. Pairs are combined by partial counts before the shuffle.
     """
-    rows = df.select(basket.alias("_u"), item.alias("_i")).where("_u is not null and _i is not null").distinct()
+    rows = store_table(df.select(basket.alias("_u"), item.alias("_i")).where("_u is not null and _i is not null").distinct())
     n_baskets = rows.select("_u").distinct().count()
     items = rows.groupBy("_i").agg(F.count(F.lit(1)).alias("_n"))
     useful = rows
