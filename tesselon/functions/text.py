@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Labels that are written in capitals.
 ACRONYMS = ("4k", "cd", "dvd", "pc", "rpg", "tv", "uhd", "vhs", "vr")
@@ -18,7 +19,7 @@ NEGATIVE_WORDS = ("awful", "bad", "boring", "broken", "hate", "terrible", "worst
 SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def html_unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
@@ -86,7 +87,8 @@ def last_label(categories: Column, generic_roots: Sequence[str]) -> Column:
 def lexicon_sentiment(text: Column, positive: Sequence[str] = POSITIVE_WORDS, negative: Sequence[str] = NEGATIVE_WORDS) -> Column:
     """A struct (label, score, positive_prob, negative_prob) from counts of exact lower-case tokens between white space."""
     tokens = F.split(collapse(F.lower(F.coalesce(text, F.lit("")))), " ")
-    pos, neg = (F.size(F.filter(tokens, lambda t, words=words: t.isin(*words))) for words in (positive, negative))
+    count = lambda words: F.size(F.filter(tokens, lambda t: t.isin(*words)))
+    pos, neg = count(positive), count(negative)
     total = pos + neg
     p = F.when(total == 0, F.lit(0.5)).otherwise(pos / total)
     n = F.when(total == 0, F.lit(0.5)).otherwise(neg / total)

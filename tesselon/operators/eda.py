@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
-def sparsity(n: F.Column, users: F.Column, items: F.Column) -> F.Column:
+def sparsity(n: Column, users: Column, items: Column) -> Column:
     """1 - n / (users * items); null where there are no users or items."""
     return 1 - n / F.nullif(users * items, F.lit(0))
 
