@@ -10,6 +10,8 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from tesselon.functions.vectors import let
+
 #: Labels that are written in capitals.
 ACRONYMS = ("4k", "cd", "dvd", "pc", "rpg", "tv", "uhd", "vhs", "vr")
 #: The lexicon of the default sentiment model.
@@ -87,13 +89,16 @@ def last_label(categories: Column, generic_roots: Sequence[str]) -> Column:
 def lexicon_sentiment(text: Column, positive: Sequence[str] = POSITIVE_WORDS, negative: Sequence[str] = NEGATIVE_WORDS) -> Column:
     """A struct (label, score, positive_prob, negative_prob) from counts of exact lower-case tokens between white space."""
     tokens = F.split(collapse(F.lower(F.coalesce(text, F.lit("")))), " ")
-    count = lambda words: F.size(F.filter(tokens, lambda t: t.isin(*words)))
-    pos, neg = count(positive), count(negative)
-    total = pos + neg
-    p = F.when(total == 0, F.lit(0.5)).otherwise(pos / total)
-    n = F.when(total == 0, F.lit(0.5)).otherwise(neg / total)
-    label = F.when(pos > neg, "POSITIVE").when(neg > pos, "NEGATIVE").otherwise("NEUTRAL")
-    return F.struct(label.alias("sentiment_label"), (p - n).alias("sentiment_score"), p.alias("positive_prob"), n.alias("negative_prob"))
+    count = lambda own, words: F.size(F.filter(own, lambda t: t.isin(*words)))
+    counts = let(tokens, lambda own: F.struct(count(own, positive).alias("pos"), count(own, negative).alias("neg")))
+
+    def result(c: Column) -> Column:
+        pos, neg, total = c["pos"], c["neg"], c["pos"] + c["neg"]
+        p, n = (F.when(total == 0, F.lit(0.5)).otherwise(x / total) for x in (pos, neg))
+        label = F.when(pos > neg, "POSITIVE").when(neg > pos, "NEGATIVE").otherwise("NEUTRAL")
+        return F.struct(label.alias("sentiment_label"), (p - n).alias("sentiment_score"), p.alias("positive_prob"), n.alias("negative_prob"))
+
+    return let(counts, result)
 
 
 def optional_number(col: Column, kind: str) -> Column:

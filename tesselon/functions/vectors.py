@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once, however often the body uses it and even inside inner functions."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -15,8 +22,8 @@ def norm(a: Column) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     """The array over its length; one that is all zero stays so."""
-    size = norm(a)
-    return F.transform(a, lambda x: x / F.when(size == 0, F.lit(1.0)).otherwise(size))
+    scale = lambda v: F.struct(v.alias("v"), F.when(norm(v) == 0, F.lit(1.0)).otherwise(norm(v)).alias("n"))
+    return let(let(a, scale), lambda s: F.transform(s["v"], lambda x: x / s["n"]))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -38,4 +45,4 @@ def hash_embedding(text: Column, dim: int = 32) -> Column:
     """Token counts by bucket: lower-case tokens between white space, each in the bucket of its md5; null is all zero."""
     tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[\s\x1c-\x1f]+"), lambda t: t != "")
     buckets = F.transform(tokens, lambda t: hash_bucket(t, dim))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
+    return let(buckets, lambda own: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(own, lambda b: b == i)).cast("double")))

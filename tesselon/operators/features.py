@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tesselon.functions import text as T
-from tesselon.functions.vectors import hash_embedding, l2_normalize
+from tesselon.functions.vectors import hash_embedding, l2_normalize, let
 from tesselon.operators.prep import keep_one
 
 NUMERIC = ("price", "average_rating", "rating_number")
@@ -101,7 +101,7 @@ def vocab_list(vocab: DataFrame) -> list[str]:
 
 def multi_hot(labels: Column, vocab: Sequence[str]) -> Column:
     known = F.array(*[F.lit(c) for c in vocab]) if vocab else F.array().cast("array<string>")
-    return F.transform(known, lambda c: F.array_contains(labels, c).cast("double"))
+    return let(labels, lambda own: F.transform(known, lambda c: F.array_contains(own, c).cast("double")))
 
 
 def standardized(df: DataFrame, columns: Sequence[str]) -> DataFrame:

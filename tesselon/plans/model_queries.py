@@ -49,14 +49,14 @@ def means_fallback(spark, d):
     return _est(Popularity().fit(train).predict(test))
 
 
-@query(f"with {P}, {CAND}, r as (select cand.*, row_number() over (partition by user_id order by coalesce(n, 0) desc, parent_asin) as rank from cand left join pop using (parent_asin) anti join tr using (user_id, parent_asin)) select user_id, parent_asin, rank from r where rank <= 10".replace("r as (", f"{POP}, r as (", 1))
+@query(f"with {P}, {CAND}, {POP}, rr as (select cand.*, row_number() over (partition by user_id order by coalesce(n, 0) desc, parent_asin) as rank from cand left join pop using (parent_asin) anti join tr using (user_id, parent_asin)) select user_id, parent_asin, rank from rr where rank <= 10")
 def popularity_topk(spark, d):
     train, test = views.parts(spark, d)
     return Popularity().fit(train).recommend(candidates(train, test), 10).select("user_id", "parent_asin", "rank")
 
 
 @query(f"""with {P}, {POP}, q as (select parent_asin, row_number() over (order by n desc, parent_asin) as p from pop), u as (select distinct user_id from te),
-    r as (select user_id, parent_asin, row_number() over (partition by user_id order by p) as rank from u, q anti join tr using (user_id, parent_asin) where p <= 300) select * from r where rank <= 5""")
+    r as (select user_id, parent_asin, row_number() over (partition by user_id order by p) as rank from (select * from u, q where p <= 300) anti join tr using (user_id, parent_asin)) select * from r where rank <= 5""")
 def popularity_catalog(spark, d):
     """Over the whole catalogue. No user has seen 295 items."""
     train, test = views.parts(spark, d)
