@@ -1 +1 @@
-
+"""Graphs as vertex and edge tables."""

@@ -1 +1 @@
-
+"""Reading and writing the engine's tables and stores."""
