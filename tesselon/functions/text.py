@@ -56,7 +56,7 @@ def parse_price(text: Column) -> tuple[Column, Column]:
 
 def normalize_category(col: Column) -> Column:
     """White space collapsed, each word capitalised, acronyms in capitals; null for null and blank."""
-    word = lambda w: F.when(F.lower(w).isin(*ACRONYMS), F.upper(w)).otherwise(F.concat(F.substring(w, 1, 1), F.lower(F.substring(w, F.lit(2), F.length(w)))))
+    word = lambda w: F.when(F.lower(w).isin(*ACRONYMS), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w)))))
     text = collapse(col)
     return F.when(text != "", F.array_join(F.transform(F.split(text, " "), word), " "))
 

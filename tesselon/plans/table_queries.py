@@ -165,7 +165,7 @@ def price_parse(spark, d):
     return spark.createDataFrame([(p,) for p in _PRICES], "raw string").select("raw", price.alias("price"), missing.alias("price_missing"))
 
 
-_WORD = "list_transform(string_split({x}, ' '), lambda w: case when lower(w) in (" + ", ".join(f"'{a}'" for a in T.ACRONYMS) + ") then upper(w) else w[1:1] || lower(w[2:]) end)"
+_WORD = "list_transform(string_split({x}, ' '), lambda w: case when lower(w) in (" + ", ".join(f"'{a}'" for a in T.ACRONYMS) + ") then upper(w) else upper(w[1:1]) || lower(w[2:]) end)"
 _NORM = "array_to_string(" + _WORD.format(x=r"trim(regexp_replace(x, '[\s\p{Z}]+', ' ', 'g'))") + ", ' ')"
 _ROOTS_SQL = ", ".join(f"'{r.lower()}'" for r in ROOTS)
 #: (parent_asin, category, pos) of the kept labels in order.
