@@ -211,3 +211,43 @@ def evaluate_all(spark, d):
 def als_svd(spark, d):
     train, test = views.parts(spark, d)
     return _est(BiasedALS().fit(train).predict(test))
+
+
+# ---- graph models
+
+
+@query()
+def lightgcn(spark, d):
+    from tesselon.models.lightgcn import LightGCN
+
+    train, test = views.parts(spark, d)
+    return _est(LightGCN(dim=16, layers=2, epochs=3, seed=SEED).fit(train).predict(test))
+
+
+def _sage(spark, d, train, loss, feature_set="full"):
+    from tesselon.models.graphsage import GraphSAGE
+
+    text, categories, numbers, sentiment, _ = features.FEATURE_SETS[feature_set]
+    scores = scored(spark, d, train)
+    item_features = None
+    if feature_set != "structure_only":
+        item_features = features.item_node_features(views.items(spark, d), views.item_order(), labels=T.filter_categories(F.col("categories"), ROOTS), aggregates=features.item_aggregates(train, scores), max_vocab=64, use_text=text, use_categories=categories, use_numeric=numbers, use_item_sentiment=sentiment)
+    return GraphSAGE(item_features, loss, features.generosity(features.user_aggregates(train, scores)), feature_set, hidden=32, epochs=20, seed=SEED)
+
+
+@query()
+def graphsage(spark, d):
+    train, test = views.parts(spark, d)
+    return _est(_sage(spark, d, train, "mse").fit(train).predict(test))
+
+
+@query()
+def graphsage_bpr(spark, d):
+    train, test = views.parts(spark, d)
+    return _est(_sage(spark, d, train, "bpr", "no_sentiment").fit(train).predict(test))
+
+
+@query()
+def graphsage_structure_only(spark, d):
+    train, test = views.parts(spark, d)
+    return _est(_sage(spark, d, train, "bpr", "structure_only").fit(train).predict(test))
