@@ -1 +1 @@
-
+"""Incremental forms of batch operators for Structured Streaming."""
