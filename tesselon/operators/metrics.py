@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tesselon.operators.ranking import top_per_key
+from tesselon.session import store_table
 
 BUNDLE = ("precision_at_k", "recall_at_k", "f1_at_k", "hit_rate_at_k", "ndcg_at_k", "oracle_precision_at_k", "oracle_recall_at_k", "oracle_f1_at_k", "oracle_hit_rate_at_k", "oracle_ndcg_at_k")
 
@@ -28,8 +29,8 @@ def sample_negatives(users: DataFrame, catalog: DataFrame, exclude: DataFrame, n
     """``(user_id, parent_asin)``: ``n`` different catalog items per user, none of the user's ``exclude`` pairs.
 
     Numbered items are probed at pseudo-random places (md5 of seed, user and number of the probe), and the first ``n``
-    that aren't excluded are taken; users whose probes don't give enough get the rest by scanning the catalog in order
-    from a place of their own, and fewer than ``n`` only if the catalog has no more. No users-by-items product is made
+    that aren't excluded are taken; users whose probes don't give enough get the rest by scanning the catalog in order,
+    and fewer than ``n`` only if the catalog has no more. No users-by-items product is made
     but for such users.
     """
     items = catalog.select("parent_asin").distinct()
@@ -43,9 +44,13 @@ def sample_negatives(users: DataFrame, catalog: DataFrame, exclude: DataFrame, n
     drawn = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("j")).select("user_id", "j", _probe(seed, F.col("user_id"), F.col("j"), size).alias("pos"))
     drawn = drawn.groupBy("user_id", "pos").agg(F.min("j").alias("j")).join(numbered, "pos")
     drawn = drawn.join(exclude.select("user_id", "parent_asin"), ["user_id", "parent_asin"], "left_anti")
-    chosen = top_per_key(drawn, ["user_id"], [F.col("j")], n, "_r").select("user_id", "parent_asin")
-    short = users.select("user_id").join(chosen.groupBy("user_id").agg(F.count(F.lit(1)).alias("_c")), "user_id", "left").where(F.coalesce("_c", F.lit(0)) < n).select("user_id", (n - F.coalesce("_c", F.lit(0))).alias("_need"))
-    rest = short.join(numbered, F.lit(True)).join(exclude.select("user_id", "parent_asin"), ["user_id", "parent_asin"], "left_anti").join(chosen, ["user_id", "parent_asin"], "left_anti")
+    chosen = store_table(top_per_key(drawn, ["user_id"], [F.col("j")], n, "_r").select("user_id", "parent_asin"))
+    short = users.select("user_id").join(chosen.groupBy("user_id").agg(F.count(F.lit(1)).alias("_c")), "user_id", "left").where(F.coalesce("_c", F.lit(0)) < n)
+    short = store_table(short.select("user_id", (n - F.coalesce("_c", F.lit(0))).alias("_need")))
+    if not short.limit(1).count():
+        return chosen
+    asked = short.select("user_id", "_need", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint"))).alias("pos")).join(numbered, "pos")
+    rest = asked.join(exclude.select("user_id", "parent_asin"), ["user_id", "parent_asin"], "left_anti").join(chosen, ["user_id", "parent_asin"], "left_anti")
     rest = rest.withColumn("_r", F.row_number().over(Window.partitionBy("user_id").orderBy("pos"))).where("_r <= _need").select("user_id", "parent_asin")
     return chosen.unionByName(rest)
 

@@ -49,8 +49,10 @@ def read_jsonl(spark: SparkSession, path: str | Path, schema: T.StructType | Non
     is the number of records, for development runs.
     """
     place = _readable(resolve_existing(path), scratch)
-    reader = spark.read.option("mode", "FAILFAST")
-    out = reader.schema(schema).json(place) if schema is not None else spark.read.option("singleVariantColumn", "v").json(place)
+    if schema is not None:
+        out = spark.read.option("mode", "FAILFAST").schema(schema).json(place)
+    else:
+        out = spark.read.text(place).where(F.trim("value") != "").select(F.parse_json("value").alias("v"))
     return out.limit(limit) if limit is not None else out
 
 
