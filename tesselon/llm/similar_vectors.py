@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tesselon.session import store_table
 
 TABLES = 12
-#: Vectors a bucket holds on average where the table adapts to their number.
-BUCKET = 1500
+#: Vectors a bucket holds on average where the table adapts to their number: a part of them, between these.
+BUCKET, BUCKET_PART, BUCKET_MOST = 1500, 120, 6000
+#: With a least cosine, the share of pairs at just that cosine that the tables must find.
+SURE = 0.9995
 #: Buckets with more vectors are divided by another hash, so no task gets a bucket that grows with the data.
 LARGE = 20_000
 #: Divisions of a large bucket, one in the other; what is still large then (copies of one vector) is cut by id.
@@ -20,9 +22,9 @@ DEPTH = 3
 SEED = 7
 
 
-def bucket_dims(n: int, dim: int, bucket: int = BUCKET) -> list[int]:
-    """Over how many coordinates each of a table's hashes chooses its axis, for about ``n / bucket`` buckets."""
-    dims, left = [], max(1.0, n / bucket)
+def bucket_dims(n: int, dim: int) -> list[int]:
+    """Over how many coordinates each of a table's hashes chooses its axis, for buckets of the size wanted."""
+    dims, left = [], max(1.0, n / min(BUCKET_MOST, max(BUCKET, n // BUCKET_PART)))
     while left > 1.5:
         d = int(min(dim, max(1, round(left / 2))))
         dims.append(d)
@@ -77,6 +79,24 @@ class Rotations:
         return code
 
 
+def tables_for(cosine: float, dim: int, dims: Sequence[int], probes: int, most: int = 64, pairs: int = 8000) -> int:
+    """The number of tables that find a share of ``SURE`` of pairs at just this cosine, by trying made-up pairs; at most ``most``.
+
+    More similar pairs are found more surely. The tables tried are those that are then used.
+    """
+    rng, rotations = np.random.default_rng(SEED), Rotations(dim)
+    x, y = rng.normal(size=(2, pairs, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = cosine * x + np.sqrt(max(0.0, 1 - cosine**2)) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    found = np.zeros(pairs, bool)
+    for t in range(most):
+        found |= (rotations.probes(x.astype(np.float32), (t,), dims, probes) == rotations.probes(y.astype(np.float32), (t,), dims, 1)).any(axis=1)
+        if found.mean() >= SURE:
+            return t + 1
+    return most
+
+
 class Tables:
     """Where vectors are kept and looked for: (table, key) pairs."""
 
@@ -171,13 +191,14 @@ def top_k(query: np.ndarray, neighbour: np.ndarray, cosine: np.ndarray, k: int)
     return query[best], neighbour[best], cosine[best], rank[best]
 
 
-def similar_vectors(df: DataFrame, item: Column, vector: Column, order: Column, dim: int, k: int = 10, *, min_cosine: float | None = None, tables: int = TABLES, probes: int | None = None, dims: Sequence[int] | None = None, large: int = LARGE) -> DataFrame:
+def similar_vectors(df: DataFrame, item: Column, vector: Column, order: Column, dim: int, k: int = 10, *, min_cosine: float | None = None, tables: int | None = None, probes: int | None = None, dims: Sequence[int] | None = None, large: int = LARGE) -> DataFrame:
     """``(item, neighbour, rank, cosine)``: for each item up to ``k`` items with the most similar vectors.
 
     Every item is a query against all others. Null items, and null vectors, vectors of another length than ``dim`` and
     those that are all zero or hold nulls, NaN or infinity, are left out. An item in several rows counts once, with the
     vector of the least ``order`` (a unique whole number). An empty table or a single vector gives no rows. With
-    ``min_cosine`` only neighbours at least that similar are looked for, which moves far less data.
+    ``min_cosine`` only neighbours at least that similar are looked for, in as many tables as find these (``tables_for``),
+    which moves far less data.
 
     A vector lies in one bucket of each table, that of the signed axes nearest to it after pseudo-rotations, and is
     looked for in ``probes`` buckets a table. The exact cosines to all vectors of these buckets are computed, so the only
@@ -191,7 +212,10 @@ def similar_vectors(df: DataFrame, item: Column, vector: Column, order: Column,
     base = store_table(rows.groupBy("item").agg(F.min("o").alias("id"), F.min_by("v", "o").alias("v")))
     n = base.count()
     dims = list(dims) if dims is not None else bucket_dims(n, dim)
-    where = Tables(dim, tables, dims, probes if probes is not None else default_probes(dims, dim))
+    if min_cosine is not None and min_cosine > 0:
+        probes = probes or 2
+        tables = tables or tables_for(min_cosine, dim, dims, probes)
+    where = Tables(dim, tables or TABLES, dims, probes or default_probes(dims, dim))
     vectors = base.select("id", "v")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
