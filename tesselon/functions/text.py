@@ -116,3 +116,8 @@ def optional_text(col: Column, cap: int | None = None) -> Column:
 def categories_to_string(col: Column, separator: str = "|") -> Column:
     """An array of labels joined, null and '' left out; null array gives ''."""
     return F.coalesce(F.array_join(F.filter(col, lambda c: c.isNotNull() & (c != "")), separator), F.lit(""))
+
+
+def stable_seed(key: Column, base: int) -> Column:
+    """A seed per key, the same in every process: the base plus the low 32 bits of the key's sha256."""
+    return F.conv(F.right(F.sha2(key, 256), F.lit(8)), 16, 10).cast("bigint") + F.lit(base)
