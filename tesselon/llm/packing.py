@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tesselon.llm.tokens import count_tokens
+from tesselon.llm.tokens import count_tokens, slices
 from tesselon.session import cut_lineage
 
 CAPACITY = 2048
@@ -22,7 +22,7 @@ def text_sizes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     id_type = df.schema[id_col].dataType.simpleString()
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count_tokens(batch.column(1)), pa.int64())], ["id", "tokens"])
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sizes, f"id {id_type}, tokens bigint").withColumnRenamed("id", id_col)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tesselon.llm.tokens import code_points, token_classes, token_starts, SINGLE
+from tesselon.llm.tokens import SINGLE, code_points, slices, token_classes, token_starts
 
 LIMIT, OVERLAP = 512, 64
 #: The cost of a cut at the end of a paragraph, line, sentence or word, and of one anywhere else.
@@ -110,7 +110,7 @@ def split_texts(df: DataFrame, id_col: str, text_col: str, limit: int = LIMIT, o
         rows = rows.where(F.length("text") > limit)  # no token is shorter than a character
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             points, bounds = code_points(batch.column(1))
             starts, ends = token_starts(points, bounds)
             kinds = boundary_kinds(points, starts, ends)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The symbols beside punctuation that stand alone, and the ranges of Chinese characters, which do too.
 ALONE = "$+<=>^`|~"
@@ -43,6 +45,16 @@ def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32), before[offsets - offsets[0]]
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose texts have about ``size`` bytes at most (a longer text is a part of its own), to bound memory."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(lengths, dtype=np.int64) - 1) // size if len(lengths) else lengths
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), len(batch)]
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        if j > i:
+            yield batch.slice(i, j - i)
+
+
 def token_starts(points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places at which tokens start and, in the same order, those at which they end; no token crosses a bound."""
     kind = token_classes()[points]

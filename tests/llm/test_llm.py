@@ -20,7 +20,7 @@ from tesselon.llm.packing import best_two_fit, pack, pack_texts, text_sizes
 from tesselon.llm.similar_vectors import similar_vectors
 from tesselon.llm.splitting import PENALTY, PIECE, UNEVEN, best_cuts, split_texts
 from tesselon.llm.term_counts import term_counts
-from tesselon.llm.tokens import code_points, count_tokens
+from tesselon.llm.tokens import code_points, count_tokens, slices
 from tesselon.llm.words import Words, word_offsets
 
 TOKEN = regex.compile(r"[㐀-䶿一-鿿豈-﫿]|[\p{P}$+<=>^`|~]|[^ \t\n\x0b\x0c\r\p{Z}\p{P}$+<=>^`|~㐀-䶿一-鿿豈-﫿]+")
@@ -146,6 +146,9 @@ def test_tokens_are_those_of_the_pattern():
     assert count_tokens(pa.array(sample, pa.string())).tolist() == [len(TOKEN.findall(t or "")) for t in sample]
     sliced = pa.array(sample, pa.string()).slice(7, 20)
     assert count_tokens(sliced).tolist() == [len(TOKEN.findall(t or "")) for t in sample[7:27]]
+    parts = list(slices(pa.RecordBatch.from_arrays([pa.array(sample, pa.string())], ["t"]), 0, 300))
+    assert [t for p in parts for t in p.column(0).to_pylist()] == sample and len(parts) > 3
+    assert [n for p in parts for n in count_tokens(p.column(0)).tolist()] == [len(TOKEN.findall(t or "")) for t in sample]
     points, bounds = code_points(pa.array([], pa.string()))
     assert len(points) == 0 and bounds.tolist() == [0]
 
