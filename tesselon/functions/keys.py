@@ -27,3 +27,11 @@ def utc_month(millis: Column) -> Column:
     """The month in UTC as a number such as 202103, whatever the session's time zone."""
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(millis / F.lit(86_400_000)).cast("int"))
     return (F.year(day) * 100 + F.month(day)).cast("bigint")
+
+
+def distinct_names(*names: str) -> None:
+    """Raises if a result would have two columns of one name."""
+    lowered = [n.lower() for n in names]
+    twice = sorted({n for n in lowered if lowered.count(n) > 1})
+    if twice:
+        raise ValueError(f"column names occur twice in the result: {twice}")

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tesselon.functions.bitmaps import TypeCounters
+from tesselon.functions.keys import distinct_names
 from tesselon.operators.key_profile import hot_keys
 
 #: An entity with this share of the rows or more is dealt over all tasks; at most ``1 / HOT_SHARE`` entities have it.
@@ -88,7 +89,7 @@ def _count_cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def entity_features(events: DataFrame, entity: Column, type_a: Column, type_b: Column, amount: Column, time: Column, *, distinct_by: tuple[str, ...] = (), entity_name: str = "entity", hot_share: float = HOT_SHARE) -> DataFrame:
-    """One row per entity: ``(entity_name, cells)``.
+    """One row per entity: ``(entity_name, cells)``; entities come out as strings.
 
     An event type is a pair of whole numbers. ``cells`` is an array of structs, one for each type the entity has, in the
     order of the types: ``type_a``, ``type_b``, ``n`` events, ``total`` of the whole, non-negative ``amount`` and the
@@ -97,6 +98,8 @@ def entity_features(events: DataFrame, entity: Column, type_a: Column, type_b: C
     must be functions of these columns. An empty table gives no rows; a negative amount raises. Other columns of
     ``events`` and their names have no influence.
     """
+    distinct_names(entity_name, "cells")
+    entity = entity.cast("string")
     parts = {"_a": type_a, "_b": type_b, "_v": amount, "_t": time}
     whole = F.lit(True)
     for c in (entity, *parts.values()):

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tesselon.functions.keys import distinct_names
+
 
 def value_frequencies(df: DataFrame, key: Column, value: Column) -> DataFrame:
     """``(_key, _value, _n)``: how often each value occurs with each key.
@@ -35,6 +37,7 @@ def key_profile(df: DataFrame, key: Column, value: Column, *, key_name: str = "k
     """
     if any(not 0 < p <= 1 for p in percentiles):
         raise ValueError("percentiles must lie in (0, 1]")
+    distinct_names(key_name, "n_rows", "n_valued", "n_distinct", "mean", "mode", "mode_count", "minimum", "maximum", "percentiles")
     freq = value_frequencies(df, key, value)
     has = F.col("_value").isNotNull()
     numeric = freq.schema["_value"].dataType.typeName() in ("double", "float", "long", "integer", "short", "byte") or "decimal" in freq.schema["_value"].dataType.typeName()
@@ -109,6 +112,8 @@ def key_history(df: DataFrame, key: Column, time: Column, chunk_rows: int = 10_0
     come first. Ties are ordered by the payload, rows equal in all of it are kept. Null keys are left out. ``time`` is in
     milliseconds. Positions come from the compressed (key, day) counts, so no task orders a whole key.
     """
+    distinct_names(key_name, "chunk", "events")
+    distinct_names("seq", "time", *payload)
     rows = df.select(key.alias("_key"), time.cast("bigint").alias("_time"), *[F.col(c).alias(c) for c in payload]).where(F.col("_key").isNotNull())
     spread = F.pmod(F.xxhash64(*payload) if payload else F.lit(0), F.lit(64))
     rows = rows.withColumn("_slot", F.when(F.col("_time").isNull(), spread - 2**40).otherwise(F.floor(F.col("_time") / 86_400_000)).cast("bigint"))

@@ -130,3 +130,14 @@ def test_entity_features_against_brute_force(spark, share):
     for row in got:
         assert [(c["type_a"], c["type_b"], c["n"], c["total"], c["latest"]) for c in row["cells"]] == [(*k, *v) for k, v in sorted(want[row["entity"]].items())]
     assert entity_features(df.limit(0), F.col("u"), half, F.lit(1), half, F.col("t")).count() == 0
+
+
+def test_names_that_would_clash(spark):
+    df = spark.createDataFrame([(1, 2)], "k int, t bigint")
+    with pytest.raises(ValueError):
+        key_profile(df, F.col("k"), F.col("t"), key_name="MEAN")
+    with pytest.raises(ValueError):
+        key_history(df, F.col("k"), F.col("t"), payload=("time",))
+    with pytest.raises(ValueError):
+        entity_features(df, F.col("k"), F.col("t"), F.col("t"), F.col("t"), F.col("t"), entity_name="cells")
+    assert entity_features(df, F.col("k"), F.col("t"), F.col("t"), F.col("t"), F.col("t")).first()["entity"] == "1"
