@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tesselon.functions.keys import distinct_names
 from tesselon.llm.fm_index import FMIndex
 from tesselon.llm.words import Vocabulary, Words, word_offsets
 
@@ -100,6 +101,7 @@ def leaks(pages: DataFrame, page_id: str, page_text: str, items: DataFrame, item
     Test items are gathered on the driver in blocks of about ``block_chars`` characters and each block's phrases are sent
     to all tasks; each task builds indexes of about ``shard_chars`` characters of its pages. Pages aren't shuffled.
     """
+    distinct_names(page_id, item_id, "spans")
     page_type, item_type = pages.schema[page_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     item_arrow = pa.int64() if item_type in ("bigint", "int", "smallint", "tinyint") else pa.string()
     rows = pages.select(F.col(page_id).alias("p"), F.col(page_text).alias("t"))

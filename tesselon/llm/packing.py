@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tesselon.functions.keys import distinct_names
 from tesselon.llm.tokens import count_tokens, slices
 from tesselon.session import cut_lineage
 
@@ -19,6 +20,7 @@ CONTAINERS_A_TASK = 4096
 
 def text_sizes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id_col, tokens)`` for every row; a null text has no tokens."""
+    distinct_names(id_col, "tokens")
     id_type = df.schema[id_col].dataType.simpleString()
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,6 +110,7 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY,
     Items are dealt by hash to tasks that pack about ``containers_a_task`` containers each, so the room lost by packing
     apart is a part of about one in so many. Only ids and sizes are moved.
     """
+    distinct_names(id_col, "piece", "first", "size", "container")
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     id_type = sizes.schema[id_col].dataType.simpleString()

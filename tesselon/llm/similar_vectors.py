@@ -194,8 +194,8 @@ def top_k(query: np.ndarray, neighbour: np.ndarray, cosine: np.ndarray, k: int)
 def similar_vectors(df: DataFrame, item: Column, vector: Column, order: Column, dim: int, k: int = 10, *, min_cosine: float | None = None, tables: int | None = None, probes: int | None = None, dims: Sequence[int] | None = None, large: int = LARGE) -> DataFrame:
     """``(item, neighbour, rank, cosine)``: for each item up to ``k`` items with the most similar vectors.
 
-    Every item is a query against all others. Null items, and null vectors, vectors of another length than ``dim`` and
-    those that are all zero or hold nulls, NaN or infinity, are left out. An item in several rows counts once, with the
+    Every item is a query against all others. Null items and orders, null vectors, vectors of another length than ``dim``
+    and those that are all zero or hold nulls, NaN or infinity, are left out. An item in several rows counts once, with the
     vector of the least ``order`` (a unique whole number). An empty table or a single vector gives no rows. With
     ``min_cosine`` only neighbours at least that similar are looked for, in as many tables as find these (``tables_for``),
     which moves far less data.
@@ -208,7 +208,7 @@ def similar_vectors(df: DataFrame, item: Column, vector: Column, order: Column,
     """
     valid = F.size("v") == dim
     valid = valid & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
-    rows = df.select(item.alias("item"), vector.alias("v"), order.cast("bigint").alias("o")).where("item is not null and v is not null").where(valid)
+    rows = df.select(item.alias("item"), vector.alias("v"), order.cast("bigint").alias("o")).where("item is not null and v is not null and o is not null").where(valid)
     base = store_table(rows.groupBy("item").agg(F.min("o").alias("id"), F.min_by("v", "o").alias("v")))
     n = base.count()
     dims = list(dims) if dims is not None else bucket_dims(n, dim)

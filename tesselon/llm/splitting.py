@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tesselon.functions.keys import distinct_names
 from tesselon.llm.tokens import SINGLE, code_points, slices, token_classes, token_starts
 
 LIMIT, OVERLAP = 512, 64
@@ -102,6 +103,7 @@ def split_texts(df: DataFrame, id_col: str, text_col: str, limit: int = LIMIT, o
     one and a null one are a single piece (null as an empty text), or are left out with ``only_long``. Rows with the same
     id are texts of their own. Whole texts are read, however long.
     """
+    distinct_names(id_col, "piece", "pieces", "first_token", "last_token", "start", "fresh", "end", *["text"] * with_text)
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and below the limit")
     id_type = df.schema[id_col].dataType.simpleString()

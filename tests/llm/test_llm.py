@@ -110,7 +110,7 @@ def _vectors(n, seed=0):
 def test_similar_vectors_recall(spark, options):
     x = _vectors(600)
     rows = [(f"i{k}", v.tolist(), k) for k, v in enumerate(x)]
-    rows += [("i5", rows[5][1], 1000), (None, [1.0] * 16, 1001), ("z", None, 1002), ("z", [0.0] * 16, 1003), ("z", [1.0] * 8, 1004), ("z", [float("nan")] * 16, 1005), ("z", [None] * 16, 1006)]
+    rows += [("i5", rows[5][1], 1000), (None, [1.0] * 16, 1001), ("z", [1.0] * 16, None), ("z", None, 1002), ("z", [0.0] * 16, 1003), ("z", [1.0] * 8, 1004), ("z", [float("nan")] * 16, 1005), ("z", [None] * 16, 1006)]
     got = similar_vectors(spark.createDataFrame(rows, "item string, v array<double>, id bigint"), F.col("item"), F.col("v"), F.col("id"), 16, 5, **options).collect()
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     sims = unit @ unit.T
@@ -321,3 +321,18 @@ def test_leaks_of_nothing(spark):
     pages, items = spark.createDataFrame([], "doc bigint, text string"), spark.createDataFrame([(1, "a b c")], "item bigint, text string")
     assert leaks(pages, "doc", "text", items, "item", "text").count() == 0
     assert leaks(spark.createDataFrame([(1, "a b c")], "doc bigint, text string"), "doc", "text", items.limit(0), "item", "text").count() == 0
+
+
+def test_names_that_would_clash(spark):
+    df = spark.createDataFrame([(1, "a b", 3)], "piece bigint, text string, tokens bigint")
+    for run in (lambda: split_texts(df, "piece", "text"), lambda: pack(df, "piece", "tokens"), lambda: text_sizes(df, "tokens", "text"), lambda: leaks(df, "piece", "text", df, "piece", "text")):
+        with pytest.raises(ValueError):
+            run()
+
+
+def test_null_ids_stay(spark):
+    df = spark.createDataFrame([(None, "a b c"), (1, "a b c")], "id bigint, text string")
+    assert sorted(str(r["id"]) for r in split_texts(df, "id", "text").collect()) == ["1", "None"]
+    assert pack_texts(df, "id", "text").count() == 2
+    found = leaks(df, "id", "text", df.withColumnRenamed("id", "item"), "item", "text").collect()
+    assert {(r["id"], r["item"]) for r in found} == {(a, b) for a in (None, 1) for b in (None, 1)}
