@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -39,7 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
         return current.get()
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-    return "file://" + tempfile.mkdtemp(prefix="tesselon-")
+    return _local_folder()
+
+
+@functools.cache
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="tesselon-")
+    atexit.register(shutil.rmtree, folder, True)
+    return "file://" + folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -51,7 +61,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def store_table(df: DataFrame) -> DataFrame:
-    """``df`` written once as a table in the shared folder and read from there; later reads survive lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/tesselon-tables/{uuid.uuid4().hex}"
+    """``df`` written once as a table in the shared folder and read from there; later reads survive lost executors.
+
+    The tables of an application lie in one folder, which is removed when its driver ends (or by ``drop_tables``).
+    """
+    path = f"{_tables_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _tables_folder(spark: SparkSession) -> str:
+    folder = f"{shared_dir(spark)}/tesselon-tables/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(drop_tables, spark)
+    return folder
+
+
+_folders: set[str] = set()
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Removes the tables that this application stored; DataFrames that read them can't be computed any more."""
+    try:
+        folder = f"{shared_dir(spark)}/tesselon-tables/{spark.sparkContext.applicationId}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session has ended; its folder is left to the cluster
+        return
