@@ -17,7 +17,7 @@ PHRASE = 13
 #: Characters of pages in one index, about; a longer page is an index of its own.
 SHARD_CHARS = 6_000_000
 #: Characters of test material searched for at once; more is searched for block by block.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
 #: Occurrences located at once.
 LOCATE = 1_000_000
 
