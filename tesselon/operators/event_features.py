@@ -101,18 +101,16 @@ def entity_features(events: DataFrame, entity: Column, type_a: Column, type_b: C
     distinct_names(entity_name, "cells")
     entity = entity.cast("string")
     parts = {"_a": type_a, "_b": type_b, "_v": amount, "_t": time}
-    whole = F.lit(True)
-    for c in (entity, *parts.values()):
-        whole = whole & c.isNotNull()
-    events = events.where(whole)
     cast = [c.cast("bigint").alias(n) for n, c in parts.items()]
-    rows = events.select(entity.alias("_e"), *(distinct_by or cast))
-    hot = sorted(r["hot_key"] for r in hot_keys(events, {"e": entity}, F.lit(1), hot_share).select("hot_key").collect())  # at most 1 / hot_share
+    # with a mark in front, as a blank entity is one too here; at most 1 / hot_share come out
+    hot = sorted(r["hot_key"][1:] for r in hot_keys(events, {"e": F.concat(F.lit("="), entity)}, F.lit(1), hot_share).select("hot_key").collect())
+    rows = events.select(entity.alias("_e"), *(distinct_by or cast)).where("_e is not null")
 
     def kept(part: DataFrame, *keys: str) -> DataFrame:
         """One shuffle by ``keys`` serves both the removal of copies and the counting."""
         part = part.repartition(*keys)
-        return part.dropDuplicates([*keys, *distinct_by]).select("_e", *cast) if distinct_by else part.select("_e", *parts)
+        part = part.dropDuplicates([*keys, *distinct_by]).select("_e", *cast) if distinct_by else part.select("_e", *parts)
+        return part.dropna(subset=list(parts))
 
     out = kept(rows.where(~F.col("_e").isin(hot)) if hot else rows, "_e").mapInArrow(_count_cold, f"entity string, cells array<{CELL}>")
     if hot:

@@ -115,7 +115,7 @@ def test_type_counters_merge():
 @pytest.mark.parametrize("share", [0.3, 1.0])
 def test_entity_features_against_brute_force(spark, share):
     rng = random.Random(2)
-    rows = [(rng.choice(["hot", "hot", f"u{rng.randrange(40)}", None]), f"i{rng.randrange(4)}", rng.choice([1.0, 4.5, None]), rng.choice([None, 5 + rng.randrange(300)])) for _ in range(2000)]
+    rows = [(rng.choice(["hot", "hot", "", f"u{rng.randrange(40)}", None]), f"i{rng.randrange(4)}", rng.choice([1.0, 4.5, None]), rng.choice([None, 5 + rng.randrange(300)])) for _ in range(2000)]
     df = spark.createDataFrame(rows, "u string, i string, r double, t bigint").withColumn("cells", F.lit("clash"))
     half = (2 * F.col("r")).cast("bigint")
     got = entity_features(df, F.col("u"), half, F.floor(F.col("t") / 50), half, F.col("t"), distinct_by=("i", "r", "t"), hot_share=share).collect()
