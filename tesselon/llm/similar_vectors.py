@@ -15,10 +15,8 @@ TABLES = 12
 BUCKET, BUCKET_PART, BUCKET_MOST = 1500, 120, 6000
 #: With a least cosine, the share of pairs at just that cosine that the tables must find.
 SURE = 0.9995
-#: Buckets with more vectors are divided by another hash, so no task gets a bucket that grows with the data.
+#: Buckets with more vectors are cut by id and all parts compared with each other, so no task gets a bucket that grows with the data.
 LARGE = 20_000
-#: Divisions of a large bucket, one in the other; what is still large then (copies of one vector) is cut by id.
-DEPTH = 3
 SEED = 7
 
 
@@ -102,42 +100,33 @@ class Tables:
 
     def __init__(self, dim: int, tables: int, dims: Sequence[int], probes: int) -> None:
         self.rotations, self.tables, self.dims, self.probes = Rotations(dim), tables, list(dims), probes
-        self.divided: dict[tuple[int, int], np.ndarray] = {}  # the mean of a large bucket
-        self.cut: dict[tuple[int, int], int] = {}  # parts by id
+        self.cut: dict[tuple[int, int], int] = {}  # parts by id of a large bucket
 
     def places(self, x: np.ndarray, ids: np.ndarray, probes: int) -> tuple[np.ndarray, ...]:
-        """(row, table, key, part, own): for each vector its own bucket in each table and, to look in, the next ones."""
+        """(row, table, key, part, own, asks): for each vector its own bucket in each table and, to look in, the next ones.
+
+        In a bucket of ``many`` parts a part is a pair of one of members and one of queries: a member lies (``own``) in
+        ``many`` of them and a query looks (``asks``) in as many, and each two of them meet in just one.
+        """
         found = []
         for t in range(self.tables):
             code = self.rotations.probes(x, (t,), self.dims, probes)
             row, own = np.repeat(np.arange(len(x)), code.shape[1]), np.tile(np.arange(code.shape[1]) == 0, len(x))
             key = code.ravel()
-            for depth in range(DEPTH):
-                keys = np.array([k for table, k in self.divided if table == t], np.int64)
-                inside = np.isin(key, keys)
-                if not inside.any():
-                    break
-                parts = [(row[~inside], key[~inside], own[~inside])]
-                for k in np.unique(key[inside]):
-                    here = np.flatnonzero(key == k)
-                    turned = x[row[here]] - self.divided[t, int(k)]
-                    sub = self.rotations.probes(turned, (t, 1000 + depth), [self.rotations.dim], 1 if probes == 1 else 2 * probes)
-                    # a key of its own for each part; that two coincide is improbable and does no harm
-                    keys_of = (np.int64(k) * 1_000_003 + sub + 1_000_000_007) & np.int64(2**62 - 1)
-                    parts.append((np.repeat(row[here], sub.shape[1]), keys_of.ravel(), np.repeat(own[here], sub.shape[1]) & np.tile(np.arange(sub.shape[1]) == 0, len(here))))
-                row, key, own = (np.concatenate(p) for p in zip(*parts, strict=True))
-            part = np.zeros(len(row), np.int64)
+            part, asks = np.zeros(len(row), np.int64), np.ones(len(row), bool)
             if self.cut:
-                many = np.array([self.cut.get((t, int(k)), 1) for k in key])
-                part = np.where(own, ids[row] % many, 0)
-                # looking takes place in all parts; the own one is where the vector also lies
-                times = many
+                many = np.array([self.cut.get((t, int(k)), 1) for k in key], np.int64)
+                # first as a query against all parts of members, then as a member for all other parts of queries
+                times = many + np.where(own, many - 1, 0)
                 first = np.cumsum(times) - times
                 shift = np.arange(int(times.sum())) - np.repeat(first, times)
-                row, key, own, home, many = (np.repeat(v, times) for v in (row, key, own, part, many))
-                part = (home + shift) % many
-                own = own & (shift == 0)
-            found.append((row, np.full(len(row), t), key, part, own))
+                row, key, own, many = (np.repeat(v, times) for v in (row, key, own, many))
+                home = ids[row] % many
+                asks = shift < many
+                other = (home + np.where(asks, shift, shift - many + 1)) % many
+                part = np.where(asks, other * many + home, home * many + other)
+                own = own & (~asks | (shift == 0))
+            found.append((row, np.full(len(row), t), key, part, own, asks))
         return tuple(np.concatenate(p) for p in zip(*found, strict=True))
 
 
@@ -159,14 +148,24 @@ def _floats(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def nearest(queries: np.ndarray, query_ids: np.ndarray, members: np.ndarray, member_ids: np.ndarray, k: int, least: float | None, block: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, neighbour, cosine) of the ``k`` members nearest to each query, or those of at least ``least``; not the query itself."""
+    """(query, neighbour, cosine) of the ``k`` members nearest to each query, or those of at least ``least``; not the query itself.
+
+    With ``least``, of members with the same cosine the first ones are kept.
+    """
     out = []
     step = max(1, block // max(1, len(members)))
     for i in range(0, len(queries), step):
         cosine = queries[i : i + step] @ members.T
         cosine[query_ids[i : i + step, None] == member_ids[None, :]] = -2
         if least is not None:
-            q, m = np.nonzero(cosine >= least)
+            hit = cosine >= least
+            over = np.flatnonzero(hit.sum(axis=1) > k)
+            if len(over):  # in a dense region all pairs are similar enough, and would not fit in memory
+                c = cosine[over]
+                last = -np.partition(-c, k - 1, axis=1)[:, k - 1 : k]
+                above, same = c > last, c == last
+                hit[over] = above | (same & (np.cumsum(same, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+            q, m = np.nonzero(hit)
         else:
             keep = min(k, len(members))
             m = np.argpartition(-cosine, keep - 1, axis=1)[:, :keep].ravel() if keep < len(members) else np.tile(np.arange(keep), len(cosine))
@@ -203,8 +202,8 @@ def similar_vectors(df: DataFrame, item: Column, vector: Column, order: Column,
     A vector lies in one bucket of each table, that of the signed axes nearest to it after pseudo-rotations, and is
     looked for in ``probes`` buckets a table. The exact cosines to all vectors of these buckets are computed, so the only
     loss is of neighbours that share no bucket. The number of buckets grows with that of vectors (``bucket_dims``). A
-    bucket with more than ``large`` vectors is divided by a further hash of the differences from its mean. No bucket is
-    cut short.
+    bucket with more than ``large`` vectors is cut by id into parts of members and of queries, which are all compared:
+    its size decides the tasks, not what is found. No bucket is cut short.
     """
     valid = F.size("v") == dim
     valid = valid & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
@@ -222,42 +221,27 @@ def similar_vectors(df: DataFrame, item: Column, vector: Column, order: Column,
         for batch in batches:
             if len(batch):
                 ids, x = _matrix(batch, dim)
-                _, table, key, _, _ = where.places(x, ids, 1)
+                _, table, key, *_ = where.places(x, ids, 1)
                 pairs, n_of = np.unique(np.stack((table, key)), axis=1, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64()), pa.array(n_of, pa.int64())], ["t", "key", "n"])
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                ids, x = _matrix(batch, dim)
-                row, table, key, _, _ = where.places(x, ids, 1)
-                out = [(t, k, x[row[(table == t) & (key == k)]].sum(axis=0, dtype=np.float64).tolist()) for t, k in sizes]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.float64())), strict=True)], ["t", "key", "s"])
-
-    for depth in range(DEPTH + 1 if n > large else 0):
+    if n > large:
         hot = vectors.mapInArrow(counted, "t bigint, key bigint, n bigint").groupBy("t", "key").agg(F.sum("n").alias("n")).where(F.col("n") > large)
-        sizes = {(r["t"], r["key"]): r["n"] for r in hot.collect()}  # at most tables * n / large
-        if not sizes:
-            break
-        if depth == DEPTH:
-            where.cut = {place: -(-size // large) for place, size in sizes.items()}
-            break
-        sums = vectors.mapInArrow(summed, "t bigint, key bigint, s array<double>").select("t", "key", F.posexplode("s").alias("i", "s")).groupBy("t", "key", "i").agg(F.sum("s").alias("s"))
-        means = {place: np.zeros(dim) for place in sizes}
-        for r in sums.collect():
-            means[r["t"], r["key"]][r["i"]] = r["s"] / sizes[r["t"], r["key"]]
-        where.divided |= {place: mean.astype(np.float32) for place, mean in means.items()}
+        where.cut = {(r["t"], r["key"]): -(-r["n"] // large) for r in hot.collect()}  # at most tables * n / large
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(20, 2000 // max([1, *where.cut.values()]))
         for batch in batches:
-            for start in range(0, len(batch), 2000):
-                ids, x = _matrix(batch.slice(start, 2000), dim)
-                row, table, key, part, own = where.places(x, ids, where.probes)
-                yield pa.RecordBatch.from_arrays([pa.array(table, pa.int64()), pa.array(key, pa.int64()), pa.array(part, pa.int64()), pa.array(ids[row], pa.int64()), pa.array(own), _binary(x[row])], ["t", "key", "part", "id", "own", "x"])
+            for start in range(0, len(batch), step):
+                ids, x = _matrix(batch.slice(start, step), dim)
+                row, table, key, part, own, asks = where.places(x, ids, where.probes)
+                yield pa.RecordBatch.from_arrays([pa.array(table, pa.int64()), pa.array(key, pa.int64()), pa.array(part, pa.int64()), pa.array(ids[row], pa.int64()), pa.array(own), pa.array(asks), _binary(x[row])], ["t", "key", "part", "id", "own", "asks", "x"])
 
     def in_bucket(group: pa.Table) -> pa.Table:
-        ids, own, x = group["id"].to_numpy(), group["own"].to_numpy(), _floats(group["x"], dim)
-        query, neighbour, cosine, _ = top_k(*nearest(x, ids, x[own], ids[own], k, min_cosine), k)
+        ids, own, asks, x = group["id"].to_numpy(), group["own"].to_numpy(), group["asks"].to_numpy(), _floats(group["x"], dim)
+        members = np.flatnonzero(own)
+        members = members[np.argsort(ids[members], kind="stable")]
+        query, neighbour, cosine, _ = top_k(*nearest(x[asks], ids[asks], x[members], ids[members], k, min_cosine), k)
         starts = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1]))[: len(query)])
         offsets = pa.array(np.append(starts, len(query)), pa.int32())
         return pa.table([pa.array(query[starts], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(neighbour, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(cosine, pa.float32()))], ["q", "m", "c"])
@@ -273,7 +257,7 @@ def similar_vectors(df: DataFrame, item: Column, vector: Column, order: Column,
             query, neighbour, cosine, rank = top_k(*(np.concatenate(p) for p in zip(*held, strict=True)), k)
             yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(neighbour, pa.int64()), pa.array(rank, pa.int64()), pa.array(cosine.astype(np.float64), pa.float64())], ["q", "m", "rank", "cosine"])
 
-    spread = vectors.mapInArrow(placed, "t bigint, key bigint, part bigint, id bigint, own boolean, x binary")
+    spread = vectors.mapInArrow(placed, "t bigint, key bigint, part bigint, id bigint, own boolean, asks boolean, x binary")
     lists = spread.groupBy("t", "key", "part").applyInArrow(in_bucket, "q bigint, m array<bigint>, c array<float>")
     best = lists.repartition("q").mapInArrow(merged, "q bigint, m bigint, rank bigint, cosine double")
     names = base.select("id", "item")

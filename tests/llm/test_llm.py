@@ -132,6 +132,19 @@ def test_copies_of_one_vector_keep_all_pairs(spark):
     assert Counter(r["item"] for r in got) == {f"i{k:03d}": 3 for k in range(90)}
 
 
+def test_large_buckets_lose_no_pairs(spark):
+    """In a region so dense that pairs of cosine 0.92 lie far apart once its mean is taken away."""
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    away = unit(rng.normal(size=(400, 64)))
+    twins = unit(0.55 * away + np.sqrt(1 - 0.55**2) * unit(rng.normal(size=(400, 64))))
+    x = np.sqrt(0.85) * unit(rng.normal(size=64)) + np.sqrt(0.15) * np.concatenate((away, twins))
+    rows = spark.createDataFrame([(f"i{k:03d}", v.tolist(), k) for k, v in enumerate(x)], "item string, v array<double>, id bigint")
+    pairs = lambda large: {(r["item"], r["neighbour"]) for r in similar_vectors(rows, F.col("item"), F.col("v"), F.col("id"), 64, 10, large=large, dims=[8], probes=2, tables=3, min_cosine=0.92).collect()}
+    whole = pairs(10_000)
+    assert len(whole) > 300 and pairs(50) == whole
+
+
 def test_similar_vectors_of_few(spark):
     kind = "item string, v array<double>, id bigint"
     for rows in ([], [("a", [1.0, 0.0], 1)]):
