@@ -17,6 +17,10 @@ PENALTY = np.array([0.0, 0.15, 0.4, 1.5, 6.0])
 PARAGRAPH, LINE, SENTENCE, WORD, INSIDE = range(5)
 #: The cost of a piece, and the weight of its squared distance from the even size, in limits.
 PIECE, UNEVEN = 0.5, 1.0
+#: Texts that need no more pieces than this get the least number or one more; of longer ones every number is considered.
+FEW = 5
+#: Positions decided at once; two pieces in a row that advance less than this together would always be better as one.
+BLOCK = 64
 #: Marks that end a sentence (the second row without a space after them), and closing marks that may follow.
 ENDS, ENDS_CLOSED = ".!?…؟।", "。！？｡"
 CLOSING = "\"'”’»)]}」』）】"
@@ -52,18 +56,83 @@ def boundary_kinds(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return kinds
 
 
+def one_pass(at: np.ndarray, step: int, piece: float, weight: float) -> tuple[float, list[int]]:
+    """The least sum of ``piece + weight * advance**2`` over the pieces and of ``at`` over the cuts, and these cuts.
+
+    Advances are 1 to ``step``, from 0 to the last position, which is the last cut.
+    """
+    n, block = len(at) - 1, min(BLOCK, step)
+    way = piece + weight * np.arange(step, 0, -1.0) ** 2
+    ahead = np.arange(block)[:, None] - np.arange(block)
+    near = np.where(ahead > 0, piece + weight * ahead**2.0, np.inf)
+    best, back = np.full(step + n + 1, np.inf), np.zeros(n + 1, np.int64)
+    best[step] = 0.0
+    for start in range(1, n + 1, block):
+        end = min(start + block, n + 1)
+        row = np.arange(end - start)
+        sums = np.lib.stride_tricks.sliding_window_view(best[start : end - 1 + step], step) + way  # from before the block
+        pick = sums.argmin(axis=1)
+        far = sums[row, pick] + at[start:end]
+        inner = far + near[: end - start, : end - start]
+        pick_in = inner.argmin(axis=1)
+        short = inner[row, pick_in] + at[start:end]
+        best[step + start : step + end] = np.minimum(far, short)
+        back[start:end] = start + np.where(short < far, pick_in, row - step + pick)
+    cuts = [n]
+    while back[cuts[-1]] > 0:
+        cuts.append(int(back[cuts[-1]]))
+    return float(best[-1]), cuts[::-1]
+
+
+def free_cuts(at: np.ndarray, step: int, limit: int, least: int) -> list[int]:
+    """The cuts of the least cost over every number of pieces, as positions from the first overlap's end.
+
+    With advances that add up to n the cost is ``sum(PIECE + w * advance**2) + penalties - w * n**2 / pieces``. The last
+    term is concave in the number: a line through its ends in a range of numbers lies below it and bounds the range by one
+    pass; where a range is a single number, its tangent lies above it and the pass finds no worse cuts than that number's.
+    """
+    n, weight = len(at) - 1, UNEVEN / limit**2
+    spread = weight * n**2
+    least_cost, best_found = np.inf, [n]
+
+    def tried(slope: float) -> float:
+        nonlocal least_cost, best_found
+        value, cuts = one_pass(at, step, PIECE + slope, weight)
+        cost = value - slope * len(cuts) - spread / len(cuts)
+        if cost < least_cost:
+            least_cost, best_found = cost, cuts
+        return value
+
+    lowest = tried(0.0)
+    tried(spread / len(best_found) ** 2)
+    room = lowest - least_cost  # more pieces than spread / room cost more than the best ones so far
+    ranges = [(least, min(n, int(spread / room) + 1) if room > 0 else n)]
+    while ranges:
+        low, high = ranges.pop()
+        if low > high or lowest - spread / low >= least_cost:
+            continue
+        slope = spread / (low * high)
+        bound = tried(slope) - spread / low - slope * low
+        if low < high and bound < least_cost - 1e-9:
+            middle = (low + high) // 2
+            ranges += [(middle + 1, high), (low, middle)]
+    return best_found
+
+
 def best_cuts(kinds: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:
     """The token numbers at which pieces end, the last being the number of tokens.
 
     Piece 1 is tokens 0 to c1, each next one starts ``overlap`` tokens before the cut. Dynamic programming over all cut
-    positions minimises the cuts' penalties, the number of pieces and their unevenness, for the least possible number of
-    pieces and one more; a position within reach of the limits is never left out.
+    positions minimises the cuts' penalties, the number of pieces and their unevenness, over every number of pieces, or up
+    to ``FEW`` pieces for the least possible number and one more; a position within reach of the limits is never left out.
     """
     n, step = len(kinds), limit - overlap
     if n <= limit:
         return [n]
     least = -(-(n - overlap) // step)
     cost = PENALTY[kinds]
+    if least > FEW:
+        return [z + overlap for z in free_cuts(np.append(cost[overlap:], 0.0), step, limit, least)]
     choices = []
     for pieces in (least, least + 1):
         even = (n - overlap) / pieces + overlap

@@ -228,6 +228,28 @@ def test_cuts_are_the_best():
         assert cost(cuts) == pytest.approx(best) and step > 0
 
 
+def test_long_texts_get_as_many_pieces_as_are_best():
+    rng = np.random.default_rng(6)
+    for limit, overlap, n in [(16, 4, 150), (12, 0, 140), (40, 5, 500), (9, 3, 80)] * 4:
+        kinds = rng.choice(5, n, p=[0.04, 0.04, 0.1, 0.4, 0.42]).astype(np.int8)
+        kinds[: n // 2][kinds[: n // 2] > 1] = 4
+        step, total = limit - overlap, n - overlap
+        cuts = best_cuts(kinds, limit, overlap)
+        ends = [c - overlap for c in cuts]
+        advances = np.diff([0, *ends])
+        assert cuts[-1] == n and advances.min() >= 1 and advances.max() <= step
+        cost = sum(PIECE + UNEVEN * ((a - total / len(cuts)) / limit) ** 2 for a in advances) + sum(PENALTY[kinds[c]] for c in cuts[:-1])
+        at = np.append(PENALTY[kinds[overlap:]], 0.0)
+        best, least = np.inf, -(-total // step)
+        for pieces in range(least, 3 * least):
+            way = PIECE + UNEVEN * ((np.arange(1, step + 1) - total / pieces) / limit) ** 2
+            held = np.append(0.0, np.full(total, np.inf))
+            for _ in range(pieces):
+                held = np.array([np.inf, *[(held[max(0, z - step) : z][::-1] + way[: min(z, step)]).min() + at[z] for z in range(1, total + 1)]])
+            best = min(best, held[-1])
+        assert cost == pytest.approx(best)
+
+
 def test_pieces_join_to_the_text(spark):
     sample = texts(80) + ["x" * 50_000, ". " * 3000, "\n\n".join("para graph. " * 9 for _ in range(40)), "漢" * 2000]
     df = spark.createDataFrame([(k, t, "c") for k, t in enumerate(sample)], "id bigint, text string, piece string")
