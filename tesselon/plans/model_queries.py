@@ -100,27 +100,45 @@ _FE = f"""{_VOC}, ia as (select parent_asin, avg(rating) as r, coalesce(avg(scor
     mh as (select x.parent_asin, list((case when l.category is null then 0 else 1 end)::double order by x.col) as c from (select parent_asin, category, col from m, vocab) x left join l on l.parent_asin = x.parent_asin and l.category = x.category group by x.parent_asin),
     g0 as (select parent_asin, e || c || [price, average_rating, rating_number] || sv as f from eb join z using (parent_asin) join mh using (parent_asin) join s1 using (parent_asin)),
     fe as materialized (select parent_asin, list_transform(f, lambda x: x / case when list_dot_product(f, f) = 0 then 1 else sqrt(list_dot_product(f, f)) end) as f from g0)"""
+_FE_ALL = _FE.replace(_VOC, tq._VOCAB.format(n=5, m=256))
 _LABELS = L[len(M) + 2 :]
 
 
-def _enriched(spark, d, train):
+def _enriched(spark, d, train, max_vocab=256):
     sentiment = scored(spark, d, train)
-    return ContentEnriched(order=views.item_order(), labels=T.filter_categories(F.col("categories"), ROOTS), aggregates=features.item_aggregates(train, sentiment), offsets=features.generosity(features.user_aggregates(train, sentiment)), max_vocab=64)
+    return ContentEnriched(order=views.item_order(), labels=T.filter_categories(F.col("categories"), ROOTS), aggregates=features.item_aggregates(train, sentiment), offsets=features.generosity(features.user_aggregates(train, sentiment)), max_vocab=max_vocab)
 
 
 @query(f"with {P}, {M}, {_REVIEWS}, {_GENEROSITY}, {_LABELS}, {_E}, {MEANS}, {_FT}, {_FE}, {_content_sql('te', 'ce', 'coalesce(o.off, 0)', 'fe', 'left join o using (user_id)')} select user_id, parent_asin, round(est, 5) as est from ce")
 def content_enriched_predict(spark, d):
+    train, test = views.parts(spark, d)
+    return _enriched(spark, d, train, 64).fit(train, views.items(spark, d)).predict(test).select("user_id", "parent_asin", F.round("est", 5).alias("est"))
+
+
+@query(f"with {P}, {M}, {_REVIEWS}, {_GENEROSITY}, {_LABELS}, {_E}, {MEANS}, {_FT}, {_FE_ALL}, {_content_sql('te', 'ce', 'coalesce(o.off, 0)', 'fe', 'left join o using (user_id)')} select user_id, parent_asin, round(est, 5) as est from ce")
+def content_enriched_predict_all(spark, d):
+    """With the operator's own size of vocabulary."""
     train, test = views.parts(spark, d)
     return _enriched(spark, d, train).fit(train, views.items(spark, d)).predict(test).select("user_id", "parent_asin", F.round("est", 5).alias("est"))
 
 
-@query(f"with {P}, {M}, {_REVIEWS}, {_LABELS}, {_E}, {_FT}, {_FE} select parent_asin, pos, round(x, 5) as x from (select parent_asin, unnest(f) as x, generate_subscripts(f, 1) as pos from fe)")
-def item_node_features(spark, d):
+def _node_features(spark, d, max_vocab):
     train, _ = views.parts(spark, d)
-    out = _enriched(spark, d, train).item_features(views.items(spark, d))
+    out = _enriched(spark, d, train, max_vocab).item_features(views.items(spark, d))
     return out.select("parent_asin", F.posexplode("features").alias("pos", "x")).select("parent_asin", (F.col("pos") + 1).alias("pos"), F.round("x", 5).alias("x"))
 
 
+@query(f"with {P}, {M}, {_REVIEWS}, {_LABELS}, {_E}, {_FT}, {_FE} select parent_asin, pos, round(x, 5) as x from (select parent_asin, unnest(f) as x, generate_subscripts(f, 1) as pos from fe)")
+def item_node_features(spark, d):
+    return _node_features(spark, d, 64)
+
+
+@query(f"with {P}, {M}, {_REVIEWS}, {_LABELS}, {_E}, {_FT}, {_FE_ALL} select parent_asin, pos, round(x, 5) as x from (select parent_asin, unnest(f) as x, generate_subscripts(f, 1) as pos from fe)")
+def item_node_features_all(spark, d):
+    """With the operator's own size of vocabulary."""
+    return _node_features(spark, d, 256)
+
+
 # ---- neighbourhoods and hybrids
 
 
@@ -242,7 +260,7 @@ def _sage(spark, d, train, loss, feature_set="full"):
     scores = scored(spark, d, train)
     item_features = None
     if feature_set != "structure_only":
-        item_features = features.item_node_features(views.items(spark, d), views.item_order(), labels=T.filter_categories(F.col("categories"), ROOTS), aggregates=features.item_aggregates(train, scores), max_vocab=64, use_text=text, use_categories=categories, use_numeric=numbers, use_item_sentiment=sentiment)
+        item_features = features.item_node_features(views.items(spark, d), views.item_order(), labels=T.filter_categories(F.col("categories"), ROOTS), aggregates=features.item_aggregates(train, scores), use_text=text, use_categories=categories, use_numeric=numbers, use_item_sentiment=sentiment)
     return GraphSAGE(item_features, loss, features.generosity(features.user_aggregates(train, scores)), feature_set, hidden=32, epochs=20, seed=SEED)
 
 

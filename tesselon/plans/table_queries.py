@@ -194,14 +194,24 @@ def category_vocab(spark, d):
     return features.category_vocab(views.items(spark, d), _labels())
 
 
-@query(f"with {L}, {_VOCAB.format(n=5, m=40)} select m.parent_asin, v.category, v.col, cast(exists (select 1 from l where l.parent_asin = m.parent_asin and l.category = v.category) as int)::double as v from m, vocab v")
-def category_multi_hot(spark, d):
+def _multi_hot(spark, d, max_vocab):
     rows = views.items(spark, d).withColumn("_l", _labels())
-    vocab = features.vocab_list(features.category_vocab(rows, F.col("_l"), 40, 5))
+    vocab = features.vocab_list(features.category_vocab(rows, F.col("_l"), max_vocab, 5))
     flags = F.transform(F.arrays_zip(F.array(*[F.lit(c) for c in vocab]).alias("c"), features.multi_hot(F.col("_l"), vocab).alias("v")), lambda x: x) if vocab else F.array()
     return rows.select("parent_asin", F.posexplode(flags).alias("col", "x")).select("parent_asin", F.col("x.c").alias("category"), "col", F.col("x.v").alias("v"))
 
 
+@query(f"with {L}, {_VOCAB.format(n=5, m=40)} select m.parent_asin, v.category, v.col, cast(exists (select 1 from l where l.parent_asin = m.parent_asin and l.category = v.category) as int)::double as v from m, vocab v")
+def category_multi_hot(spark, d):
+    return _multi_hot(spark, d, 40)
+
+
+@query(f"with {L}, {_VOCAB.format(n=5, m=256)} select m.parent_asin, v.category, v.col, cast(exists (select 1 from l where l.parent_asin = m.parent_asin and l.category = v.category) as int)::double as v from m, vocab v")
+def category_multi_hot_all(spark, d):
+    """With the operator's own size of vocabulary."""
+    return _multi_hot(spark, d, 256)
+
+
 @query(f"with {M} select parent_asin, list_filter(categories, lambda c: c is not null and trim(c) <> '' and c not in ({', '.join(f''' '{r}' '''.strip() for r in ROOTS)}))[-1] as label from m")
 def item_labels(spark, d):
     return views.items(spark, d).select("parent_asin", T.last_label(F.col("categories"), ROOTS).alias("label"))

@@ -1,8 +1,10 @@
 """Queries do the whole job that their operators do."""
 
+import pytest
 from sqlcheck import check
 
-from tesselon.plans import model_queries
+from tesselon.operators import features
+from tesselon.plans import model_queries, table_queries, views
 
 
 def test_calibration_takes_all_training_rows(spark, monkeypatch):
@@ -12,3 +14,24 @@ def test_calibration_takes_all_training_rows(spark, monkeypatch):
     monkeypatch.setattr(model_queries, "evaluate_models", lambda models, *a, **k: made.update(models))
     model_queries.evaluate_all(spark, "/root/testdata/sf0.001")
     assert made["calibrated_hybrid"].max_rows is None
+
+
+@pytest.mark.parametrize(("module", "name"), [(table_queries, "category_multi_hot_all"), (model_queries, "content_enriched_predict_all"), (model_queries, "item_node_features_all")])
+def test_whole_vocabulary_equals_its_sql(spark, module, name):
+    check(spark, module, name)
+
+
+def test_vocabulary_is_the_operators(spark, monkeypatch):
+    """Of 300 labels, each in five items, 256 are flags in every query that isn't bound by its SQL."""
+    rows = [(f"i{k:04d}", f"t{k}", [f"Label{k % 300}"], None, None, None, None) for k in range(1500)]
+    items = spark.createDataFrame(rows, "parent_asin string, title string, categories array<string>, store string, price double, average_rating double, rating_number bigint")
+    monkeypatch.setattr(views, "items", lambda spark, d: items)
+    assert table_queries.category_multi_hot_all(spark, "").select("category").distinct().count() == 256
+    asked = []
+    monkeypatch.setattr(model_queries, "scored", lambda *a: None)
+    for name in ("item_aggregates", "user_aggregates", "generosity"):
+        monkeypatch.setattr(features, name, lambda *a: None)
+    monkeypatch.setattr(features, "item_node_features", lambda *a, max_vocab=256, **k: asked.append(max_vocab))
+    for loss, kind in (("mse", "full"), ("bpr", "no_sentiment")):
+        model_queries._sage(spark, "", None, loss, kind)
+    assert asked == [256, 256] and model_queries._enriched(spark, "", None).options["max_vocab"] == 256
