@@ -193,6 +193,12 @@ def graph_co_rated_edges(spark, d):
     return build.co_rated_edges(_graph(spark, d)[1], views.items(spark, d), 200).withColumns(six("weight_jaccard"))
 
 
+@query(SQL["graph_co_rated_edges"].replace("limit 200", "limit 50000"))
+def graph_co_rated_edges_all(spark, d):
+    """With the operator's own number of edges."""
+    return build.co_rated_edges(_graph(spark, d)[1], views.items(spark, d)).withColumns(six("weight_jaccard"))
+
+
 @query(f"""with {P}, {M}, {L[len(M) + 2:]}, re as (select tr.* from tr semi join m using (parent_asin)), k as (select *, row_number() over (partition by user_id order by rating desc, parent_asin) as rank from re qualify rank <= 3), c as (select parent_asin, string_agg(distinct category, '|' order by category) as cs from l group by 1)
     select user_id, rank, parent_asin, rating, coalesce(cs, '') as categories from k left join c using (parent_asin)""")
 def graph_user_top_items(spark, d):

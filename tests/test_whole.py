@@ -1,10 +1,14 @@
 """Queries do the whole job that their operators do."""
 
+import json
+
 import pytest
 from sqlcheck import check
 
+from tesselon.cli import main
 from tesselon.operators import features
-from tesselon.plans import model_queries, table_queries, views
+from tesselon.plans import graph_queries, model_queries, table_queries, views
+from tesselon.sources.stores import GraphStore
 
 
 def test_calibration_takes_all_training_rows(spark, monkeypatch):
@@ -35,3 +39,25 @@ def test_vocabulary_is_the_operators(spark, monkeypatch):
     for loss, kind in (("mse", "full"), ("bpr", "no_sentiment")):
         model_queries._sage(spark, "", None, loss, kind)
     assert asked == [256, 256] and model_queries._enriched(spark, "", None).options["max_vocab"] == 256
+
+
+def test_co_rated_edges_equal_their_sql(spark):
+    assert "limit 50000" in graph_queries.SQL["graph_co_rated_edges_all"]
+    check(spark, graph_queries, "graph_co_rated_edges_all")
+
+
+def test_all_co_rated_edges_are_kept_and_ingested(spark, tmp_path, monkeypatch):
+    """25 items that all users rated have 300 pairs."""
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    (raw / "T.jsonl").write_text("\n".join(json.dumps({"user_id": f"u{u}", "parent_asin": f"i{i:02d}", "rating": 5.0 - (u + i) % 3, "timestamp": 100 * u + i, "text": "good" if i % 2 else "bad"}) for u in range(4) for i in range(25)))
+    (raw / "meta_T.jsonl").write_text("\n".join(json.dumps({"parent_asin": f"i{i:02d}", "title": f"thing {i}", "categories": ["Root", "Red"], "price": "$3", "average_rating": 4.0, "rating_number": i}) for i in range(25)))
+    config = tmp_path / "c.yaml"
+    config.write_text(f"raw_dir: {raw}\nprocessed_dir: {tmp_path / 'p'}\nactive_dataset: t\ndatasets: {{t: {{category: T, k_core: 2}}}}\npreprocessing: {{test_size: 0.04}}\ngraph_analysis: {{min_shared_users: 1}}\nstorage: {{vector_root: {tmp_path / 'v'}, graph_root: {tmp_path / 'g'}}}\n")
+    for step in ("preprocess", "ingest-graph"):
+        assert main(["--config", str(config), step]) == 0
+    edges = GraphStore(spark, str(tmp_path / "g")).read("co_rated_with")
+    assert edges.count() > 200
+    monkeypatch.setattr(graph_queries, "_graph", lambda *a: (None, edges))
+    monkeypatch.setattr(views, "items", lambda *a: edges.selectExpr("explode(array(a, b)) parent_asin").distinct())
+    assert graph_queries.graph_co_rated_edges_all(spark, "").count() == edges.count()
