@@ -6,6 +6,7 @@ import pytest
 from sqlcheck import check
 
 from tesselon.cli import main
+from tesselon.models.evaluate import build_models
 from tesselon.operators import features
 from tesselon.plans import graph_queries, model_queries, table_queries, views
 from tesselon.sources.stores import GraphStore
@@ -61,3 +62,26 @@ def test_all_co_rated_edges_are_kept_and_ingested(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(graph_queries, "_graph", lambda *a: (None, edges))
     monkeypatch.setattr(views, "items", lambda *a: edges.selectExpr("explode(array(a, b)) parent_asin").distinct())
     assert graph_queries.graph_co_rated_edges_all(spark, "").count() == edges.count()
+
+
+def test_evaluate_makes_every_model_of_a_set(spark, tmp_path, monkeypatch):
+    with pytest.raises(KeyError):
+        build_models("graph_only", {})
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    (raw / "T.jsonl").write_text("\n".join(json.dumps({"user_id": f"u{u}", "parent_asin": f"i{i}", "rating": 5.0 - (u * i + i) % 4, "timestamp": 100 * u + i, "text": "good great" if (u + i) % 3 else "bad awful"}) for u in range(6) for i in range(6)))
+    (raw / "meta_T.jsonl").write_text("\n".join(json.dumps({"parent_asin": f"i{i}", "title": f"thing {i}", "categories": ["Root", "Red"], "price": "$3", "average_rating": 4.0, "rating_number": i}) for i in range(6)))
+    config = tmp_path / "c.yaml"
+    config.write_text(f"raw_dir: {raw}\nprocessed_dir: {tmp_path / 'p'}\nactive_dataset: t\ndatasets: {{t: {{category: T, k_core: 2}}}}\nranking: {{negatives: 3, seed: 1}}\ngraph: {{epochs: 1}}\n")
+    run = lambda *a: main(["--config", str(config), *a])
+    assert run("preprocess") == 0 and run("sentiment") == 0
+
+    made = {}
+    monkeypatch.setattr("tesselon.models.evaluate.evaluate_models", lambda models, *a, **k: made.update(models) or spark.range(0))
+    assert run("evaluate", "--models", "graph_only") == 0 and list(made) == ["lightgcn", "graphsage", "graphsage_bpr"]
+    made.clear()
+    assert run("evaluate", "--models", "ablation") == 0
+    for name, sentiment, offset in (("content_enriched", True, True), ("content_enriched_no_sentiment", False, True), ("content_enriched_no_offset", True, False)):
+        model = made[name]
+        assert model.options["aggregates"].count() == 5 and model.options["use_item_sentiment"] is sentiment
+        assert (model.offsets is not None and model.offsets.count() == 6) is offset
