@@ -250,7 +250,7 @@ def lightgcn(spark, d):
     from tesselon.models.lightgcn import LightGCN
 
     train, test = views.parts(spark, d)
-    return _est(LightGCN(dim=16, layers=2, epochs=3, seed=SEED).fit(train).predict(test))
+    return _est(LightGCN(seed=SEED).fit(train).predict(test))
 
 
 def _sage(spark, d, train, loss, feature_set="full"):

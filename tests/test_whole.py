@@ -85,3 +85,18 @@ def test_evaluate_makes_every_model_of_a_set(spark, tmp_path, monkeypatch):
         model = made[name]
         assert model.options["aggregates"].count() == 5 and model.options["use_item_sentiment"] is sentiment
         assert (model.offsets is not None and model.offsets.count() == 6) is offset
+
+
+def test_lightgcn_is_registered_with_its_defaults(spark, monkeypatch):
+    from tesselon.models import lightgcn
+
+    class Made(Exception):
+        pass
+
+    def fit(self, train):
+        raise Made(self.dim, self.layers, self.epochs)
+
+    monkeypatch.setattr(lightgcn.LightGCN, "fit", fit)
+    with pytest.raises(Made) as made:
+        model_queries.lightgcn(spark, "/root/testdata/sf0.001")
+    assert made.value.args == (64, 2, 10)
