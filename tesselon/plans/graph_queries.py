@@ -145,8 +145,10 @@ def louvain_quality(spark, d):
 
 @query()
 def girvan_newman(spark, d):
-    nodes, edges = _graph(spark, d, LEAST, 120)
-    return communities.girvan_newman(nodes, edges)
+    """Of the largest Louvain community, as in ``communities.analyze``."""
+    nodes, edges = _graph(spark, d)
+    found = store_table(communities.louvain(nodes, edges))
+    return communities.girvan_newman(*communities.largest_community(nodes, edges, found))
 
 
 @query()

@@ -100,3 +100,15 @@ def test_lightgcn_is_registered_with_its_defaults(spark, monkeypatch):
     with pytest.raises(Made) as made:
         model_queries.lightgcn(spark, "/root/testdata/sf0.001")
     assert made.value.args == (64, 2, 10)
+
+
+def test_girvan_newman_takes_the_largest_community(spark, monkeypatch):
+    """Two halves of 90 items, joined by one edge, of a ring each; a smaller third part is left out."""
+    ring = lambda c, n: [(f"{c}{i:03d}", f"{c}{(i + 1) % n:03d}") for i in range(n)]
+    edges = spark.createDataFrame([(min(a, b), max(a, b), 3, 0.5) for a, b in [*ring("a", 90), *ring("b", 90), ("a000", "b000"), *ring("c", 5)]], "a string, b string, weight_count bigint, weight_jaccard double")
+    nodes = edges.selectExpr("explode(array(a, b)) item").distinct()
+    asked = []
+    monkeypatch.setattr(graph_queries, "_graph", lambda spark, d, *limits: asked.append(limits[1:]) or (nodes, edges))
+    monkeypatch.setattr(graph_queries.communities, "louvain", lambda n, e: n.selectExpr("item node", "if(item < 'c', 'a', 'c') community"))
+    got = {r["node"]: r["community"] for r in graph_queries.girvan_newman(spark, "").collect()}
+    assert asked == [()] and len(got) == 180 and {v[0] for v in got.values()} == {"a", "b"}
