@@ -8,6 +8,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,11 +66,28 @@ def store_table(df: DataFrame) -> DataFrame:
 
     The tables of an application lie in one folder, which is removed when its driver ends (or by ``drop_tables``).
     """
-    path = f"{_tables_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return store_parts([df])
+
+
+def store_parts(parts: Iterable[DataFrame]) -> DataFrame:
+    """Like ``store_table``, of one or more DataFrames of one schema, which are computed and written one after the other."""
+    path = df = None
+    for df in parts:
+        path = path or f"{_tables_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+        df.write.mode("append").parquet(path)
+    if df is None:
+        raise ValueError("nothing to store")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_table(table: DataFrame) -> None:
+    """Removes a stored table that nothing reads any more, such as a round of an iteration once the next one is written."""
+    spark = table.sparkSession
+    for file in {name.rpartition("/")[0] for name in table.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _tables_folder(spark: SparkSession) -> str:
     folder = f"{shared_dir(spark)}/tesselon-tables/{spark.sparkContext.applicationId}"
     if folder not in _folders:
