@@ -13,11 +13,15 @@ class Bits:
 
     __slots__ = ("before", "words")
 
-    def __init__(self, bits: np.ndarray) -> None:
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64)))
+
+    @classmethod
+    def of(cls, bits: np.ndarray) -> Bits:
         padded = np.zeros(((len(bits) >> 6) + 1) << 6, dtype=np.uint8)
         padded[: len(bits)] = bits
-        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
-        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)))
+        return cls(np.packbits(padded, bitorder="little").view(np.uint64))
 
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Ones before each place."""
@@ -31,16 +35,19 @@ class Bits:
 class WaveletMatrix:
     """Symbols below ``2 ** levels``, a level per bit from the highest, the zeros of a level in front of its ones."""
 
-    def __init__(self, symbols: np.ndarray, largest: int) -> None:
-        self.levels = max(1, int(largest).bit_length())
-        self.bits: list[Bits] = []
-        self.zeros: list[int] = []
-        for level in range(self.levels - 1, -1, -1):
+    def __init__(self, bits: list[Bits], zeros: list[int], largest: int) -> None:
+        self.levels, self.bits, self.zeros = len(bits), bits, zeros
+        self.base = self._walk(np.arange(largest + 1), np.zeros(largest + 1, np.int64))
+
+    @classmethod
+    def of(cls, symbols: np.ndarray, largest: int) -> WaveletMatrix:
+        bits, zeros = [], []
+        for level in range(max(1, int(largest).bit_length()) - 1, -1, -1):
             bit = (symbols >> level) & 1 == 1
-            self.bits.append(Bits(bit))
-            self.zeros.append(len(symbols) - int(bit.sum()))
+            bits.append(Bits.of(bit))
+            zeros.append(len(symbols) - int(bit.sum()))
             symbols = np.concatenate((symbols[~bit], symbols[bit]))
-        self.base = self._walk(np.arange(largest + 1), np.zeros(largest + 1, np.int64))
+        return cls(bits, zeros, largest)
 
     def _walk(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         for k, (bits, zeros) in enumerate(zip(self.bits, self.zeros, strict=True)):
@@ -104,18 +111,30 @@ def suffix_order(symbols: np.ndarray, largest: int) -> np.ndarray:
 
 
 class FMIndex:
-    """Finds phrases in ``symbols``, numbers from 1 to ``largest`` with 0 for what no phrase has."""
+    """Finds phrases in a sequence of numbers from 1 to ``largest``, in which a 0 is an end mark that no phrase crosses."""
 
-    def __init__(self, symbols: np.ndarray, largest: int, sample: int = SAMPLE) -> None:
+    def __init__(self, matrix: WaveletMatrix, counts: np.ndarray, kept: Bits, places: np.ndarray) -> None:
+        self.matrix, self.counts, self.kept, self.places = matrix, counts, kept, places
+        self.before = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))  # symbols less than each
+        self.size = int(self.before[-1])
+
+    @classmethod
+    def of(cls, symbols: np.ndarray, largest: int, sample: int = SAMPLE) -> FMIndex:
         symbols = np.append(np.asarray(symbols, dtype=np.int64), 0)
         order = suffix_order(symbols, largest)
         last = symbols[order - 1]  # for the suffix at place 0 this is the final end mark
-        self.matrix = WaveletMatrix(last, largest)
-        self.before = np.concatenate(([0], np.cumsum(np.bincount(symbols, minlength=largest + 1))))  # symbols less than each
-        self.size = len(symbols)
         # walks backward stop at sampled places and never need to pass an end mark
         kept = (order % sample == 0) | (last == 0)
-        self.kept, self.places = Bits(kept), order[kept]
+        return cls(WaveletMatrix.of(last, largest), np.bincount(symbols, minlength=largest + 1), Bits.of(kept), order[kept])
+
+    def parts(self) -> dict[str, np.ndarray]:
+        """The arrays that make the index up, for storing."""
+        return {"bits": np.stack([b.words for b in self.matrix.bits]), "zeros": np.array(self.matrix.zeros), "counts": self.counts.astype(np.uint32), "kept": self.kept.words, "places": self.places.astype(np.uint32)}
+
+    @classmethod
+    def of_parts(cls, parts: dict[str, np.ndarray]) -> FMIndex:
+        matrix = WaveletMatrix([Bits(w) for w in parts["bits"]], parts["zeros"].tolist(), len(parts["counts"]) - 1)
+        return cls(matrix, parts["counts"].astype(np.int64), Bits(parts["kept"]), parts["places"].astype(np.int64))
 
     def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows [low, high) of each phrase; ``phrases`` holds a phrase per row, its last word first."""

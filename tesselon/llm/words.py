@@ -74,6 +74,11 @@ def plain(text: str) -> str:
     return html.unescape(text) if "&" in text else text
 
 
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all runs in a row, each from its start on."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
 class Words:
     """The words of some texts in a row: their characters, where each begins and ends there, a number made of each, its text."""
 
@@ -108,44 +113,52 @@ class Words:
 
     def inside(self) -> np.ndarray:
         """The places in ``chars`` of the characters of all words."""
-        sizes = self.ends - self.starts
-        return np.arange(int(sizes.sum())) + np.repeat(self.starts - (np.cumsum(sizes) - sizes), sizes)
+        return _runs(self.starts, self.ends - self.starts)
 
     def word(self, i: int) -> str:
         return self.chars[self.starts[i] : self.ends[i]].tobytes().decode("utf-32-le")
 
 
 class Vocabulary:
-    """The distinct words of the test material, numbered from 1."""
+    """Distinct words, numbered from 1 in the order of the numbers made of them."""
 
-    def __init__(self, words: Words) -> None:
-        numbers = words.numbers()
-        self.numbers, first, self.of_words = np.unique(numbers, return_index=True, return_inverse=True)
-        self.of_words = self.of_words + 1
-        self.sizes = (words.ends - words.starts)[first]
-        self.first = np.concatenate(([0], np.cumsum(self.sizes)))
-        self.chars = np.concatenate([words.chars[words.starts[i] : words.ends[i]] for i in first]) if len(first) else np.zeros(0, np.uint32)
+    def __init__(self, numbers: np.ndarray, sizes: np.ndarray, chars: np.ndarray) -> None:
+        self.numbers, self.sizes, self.chars = numbers, sizes, chars
+        self.first = np.cumsum(sizes) - sizes
+
+    @classmethod
+    def of(cls, words: Words) -> tuple[Vocabulary, np.ndarray]:
+        """The vocabulary of some texts, and the number of each of their words in it."""
+        numbers, first, of_words = np.unique(words.numbers(), return_index=True, return_inverse=True)
+        sizes = (words.ends - words.starts)[first]
+        return cls(numbers, sizes, words.chars[_runs(words.starts[first], sizes)]), of_words + 1
 
     def __len__(self) -> int:
         return len(self.numbers)
 
-    def lookup(self, words: Words) -> np.ndarray:
-        """Each word's number here, or 0; the characters are compared too, so equal numbers of different words don't count."""
-        numbers = words.numbers()
-        if not len(self) or not len(numbers):
-            return np.zeros(len(numbers), np.int64)
-        at = np.minimum(np.searchsorted(self.numbers, numbers), len(self) - 1)
-        sizes = words.ends - words.starts
-        same = (self.numbers[at] == numbers) & (self.sizes[at] == sizes)
+    def find(self, other: Vocabulary) -> np.ndarray:
+        """Of each word of another vocabulary its number here, or 0; characters are compared, not only the numbers made of them."""
+        if not len(self) or not len(other):
+            return np.zeros(len(other), np.int64)
+        at = np.minimum(np.searchsorted(self.numbers, other.numbers), len(self) - 1)
+        same = (self.numbers[at] == other.numbers) & (self.sizes[at] == other.sizes)
         own = np.flatnonzero(same)
         if len(own):
-            size = sizes[own]
-            offset = np.cumsum(size) - size
-            step = np.arange(int(size.sum())) - np.repeat(offset, size)
-            equal = words.chars[np.repeat(words.starts[own], size) + step] == self.chars[np.repeat(self.first[at[own]], size) + step]
-            same[own] = np.logical_and.reduceat(equal, offset)
+            size = other.sizes[own]
+            equal = other.chars[_runs(other.first[own], size)] == self.chars[_runs(self.first[at[own]], size)]
+            same[own] = np.logical_and.reduceat(equal, np.cumsum(size) - size)
         return np.where(same, at + 1, 0)
 
+    def parts(self) -> dict[str, np.ndarray]:
+        """The arrays that make the vocabulary up, for storing."""
+        text = self.chars.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        return {"numbers": self.numbers, "sizes": self.sizes.astype(np.uint32), "chars": np.frombuffer(text, np.uint8)}
+
+    @classmethod
+    def of_parts(cls, parts: dict[str, np.ndarray]) -> Vocabulary:
+        text = parts["chars"].tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass")
+        return cls(parts["numbers"], parts["sizes"].astype(np.int64), np.frombuffer(text, np.uint32))
+
 
 def word_offsets(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Where each word of ``Words([text])`` begins and ends in the text as stored."""
