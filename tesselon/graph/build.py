@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tesselon.models.collaborative import number_keys
-from tesselon.operators.ranking import top_per_key
+from tesselon.operators.pairs import basket_pairs, item_pair
+from tesselon.operators.ranking import number_keys, top_per_key
+from tesselon.session import store_table
 
 REQUIRED = ("user_id", "parent_asin", "rating", "timestamp")
 
@@ -36,19 +37,6 @@ def bipartite_graph(train: DataFrame) -> DataFrame:
     return deduplicate(train.select(*REQUIRED)).select(F.concat(F.lit("u:"), "user_id").alias("src"), F.concat(F.lit("i:"), "parent_asin").alias("dst"), "rating")
 
 
-def _basket_pairs(rows: DataFrame, chunk: int) -> DataFrame:
-    """``(a, b)`` with a < b for every pair of items of one user, baskets above ``chunk`` cut into chunk pairs."""
-    sizes = rows.groupBy("u").agg(F.count(F.lit(1)).alias("_s"))
-    parts = sizes.select(F.col("u").alias("_u"), F.ceil(F.col("_s") / F.lit(chunk)).cast("bigint").alias("_k"))
-    cut = rows.join(parts, F.col("u") == F.col("_u")).withColumn("_c", F.pmod(F.xxhash64("i"), F.col("_k")))
-    dealt = cut.select("u", "i", "_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1)).alias("_o"))
-    groups = dealt.groupBy("u", F.least("_c", "_o").alias("_x"), F.greatest("_c", "_o").alias("_y")).agg(F.collect_list(F.when(F.col("_c") <= F.col("_o"), F.col("i"))).alias("l"), F.collect_list(F.when(F.col("_c") >= F.col("_o"), F.col("i"))).alias("r"))
-    # a chunk with itself has both sides equal, and each pair twice until a < b keeps one
-    pairs = F.flatten(F.transform("l", lambda a: F.transform("r", lambda b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), (a < b).alias("up")))))
-    own = F.col("_x") == F.col("_y")
-    return groups.select(own.alias("own"), F.explode(pairs).alias("p")).where("p.a <> p.b and (not own or p.up)").select("p.a", "p.b")
-
-
 def project_items(train: DataFrame, min_shared_users: int = 1, top_n_items: int | None = None, chunk: int = 256) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the item-item graph: edges (a, b, weight_count, weight_jaccard) with a < b.
 
@@ -58,13 +46,13 @@ def project_items(train: DataFrame, min_shared_users: int = 1, top_n_items: int
     """
     if min_shared_users < 1:
         raise ValueError("min_shared_users must be at least 1")
-    rows = train.select(F.col("user_id").alias("u"), F.col("parent_asin").alias("i")).where("u is not null and i is not null").distinct()
+    rows = store_table(train.select(F.col("user_id").alias("u"), F.col("parent_asin").alias("i")).where("u is not null and i is not null").distinct())
     degree = rows.groupBy("i").agg(F.count(F.lit(1)).alias("degree"))
     nodes = degree
     if top_n_items is not None:
         nodes = degree.orderBy(F.desc("degree"), "i").limit(top_n_items)
         rows = rows.join(nodes.select("i"), "i", "left_semi")
-    shared = _basket_pairs(rows, chunk).groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight_count")).where(F.col("weight_count") >= min_shared_users)
+    shared = basket_pairs(rows.select(F.col("u").alias("basket"), F.col("i").alias("item")), item_pair, chunk).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("weight_count")).where(F.col("weight_count") >= min_shared_users)
     shared = shared.join(degree.select(F.col("i").alias("a"), F.col("degree").alias("_da")), "a").join(degree.select(F.col("i").alias("b"), F.col("degree").alias("_db")), "b")
     edges = shared.select("a", "b", "weight_count", (F.col("weight_count") / (F.col("_da") + F.col("_db") - F.col("weight_count"))).alias("weight_jaccard"))
     return nodes.select(F.col("i").alias("item"), "degree"), edges

@@ -198,7 +198,7 @@ def spectral(nodes: DataFrame, edges: DataFrame, k: int, weight: str = "weight_j
     """``(node, community)`` of the largest component by power iteration clustering, the distributed relative of spectral clustering."""
     from pyspark.ml.clustering import PowerIterationClustering
 
-    from tesselon.models.collaborative import number_keys
+    from tesselon.operators.ranking import number_keys
 
     if k < 2:
         raise ValueError("k must be at least 2")

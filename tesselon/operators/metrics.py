@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tesselon.operators.ranking import top_per_key
+from tesselon.operators.ranking import number_keys, top_per_key
 from tesselon.session import store_table
 
 BUNDLE = ("precision_at_k", "recall_at_k", "f1_at_k", "hit_rate_at_k", "ndcg_at_k", "oracle_precision_at_k", "oracle_recall_at_k", "oracle_f1_at_k", "oracle_hit_rate_at_k", "oracle_ndcg_at_k")
@@ -30,39 +30,52 @@ def sample_negatives(users: DataFrame, catalog: DataFrame, exclude: DataFrame, n
 
     Numbered items are probed at pseudo-random places (md5 of seed, user and number of the probe), and the first ``n``
     that aren't excluded are taken; users whose probes don't give enough get the rest by scanning the catalog in order,
-    and fewer than ``n`` only if the catalog has no more. No users-by-items product is made
-    but for such users.
+    and fewer than ``n`` only if the catalog has no more.
+
+    First somewhat more than ``n`` probes are drawn, and all ``probes`` (3 ``n`` by default) only for users who fall
+    short of ``n`` then. The scan takes ranges of places, each larger than the one before, for those users who still lack
+    items. Such users have excluded most of a catalog that is large beside ``n``, so the ranges hold about as many rows
+    as ``exclude`` has of these users. Users are distinct; rows with a null user give none.
     """
     items = catalog.select("parent_asin").distinct()
+    users = users.select("user_id").where(F.col("user_id").isNotNull())
     if n <= 0:
-        return users.select("user_id").join(items, F.lit(False))
-    numbered = _numbered(items)
-    size = items.count()
+        return users.join(items, F.lit(False))
+    places = store_table(number_keys(items, "parent_asin", "pos"))
+    size = places.count()
     if size == 0:
-        return users.select("user_id").join(items, F.lit(False))
+        return users.join(items, F.lit(False))
+    context = users.sparkSession.sparkContext
+    tasks = max(context.defaultParallelism, int(users.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    taken = store_table(exclude.join(places, "parent_asin").select("user_id", "pos").distinct())
+
+    def free(asked: DataFrame, tries: int) -> DataFrame:
+        drawn = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda j: _probe(seed, F.col("user_id"), j, size)))
+        drawn = asked.repartition(tasks, "user_id").select("user_id", F.posexplode(drawn).alias("j", "pos"))
+        return store_table(top_per_key(drawn.join(taken, ["user_id", "pos"], "left_anti"), ["user_id"], [F.col("j")], n, "_r").select("user_id", "pos"))
+
+    def lacking(asked: DataFrame, got: DataFrame, wanted: Column) -> DataFrame:
+        """Of the users asked those who need more, and how many."""
+        had = got.groupBy("user_id").agg(F.count(F.lit(1)).alias("_c"))
+        need = wanted - F.coalesce("_c", F.lit(0))
+        return store_table(asked.join(had, "user_id", "left").where(need > 0).select("user_id", need.alias("_need")))
+
     tries = probes or 3 * n
-    drawn = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("j")).select("user_id", "j", _probe(seed, F.col("user_id"), F.col("j"), size).alias("pos"))
-    drawn = drawn.groupBy("user_id", "pos").agg(F.min("j").alias("j")).join(numbered, "pos")
-    drawn = drawn.join(exclude.select("user_id", "parent_asin"), ["user_id", "parent_asin"], "left_anti")
-    chosen = store_table(top_per_key(drawn, ["user_id"], [F.col("j")], n, "_r").select("user_id", "parent_asin"))
-    short = users.select("user_id").join(chosen.groupBy("user_id").agg(F.count(F.lit(1)).alias("_c")), "user_id", "left").where(F.coalesce("_c", F.lit(0)) < n)
-    short = store_table(short.select("user_id", (n - F.coalesce("_c", F.lit(0))).alias("_need")))
-    if not short.limit(1).count():
-        return chosen
-    asked = short.select("user_id", "_need", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint"))).alias("pos")).join(numbered, "pos")
-    rest = asked.join(exclude.select("user_id", "parent_asin"), ["user_id", "parent_asin"], "left_anti").join(chosen, ["user_id", "parent_asin"], "left_anti")
-    rest = rest.withColumn("_r", F.row_number().over(Window.partitionBy("user_id").orderBy("pos"))).where("_r <= _need").select("user_id", "parent_asin")
-    return chosen.unionByName(rest)
-
-
-def _numbered(items: DataFrame) -> DataFrame:
-    """``(pos, parent_asin)``: items in order, numbered from 0, by counts of hashed ranges rather than in one task."""
-    ranged = items.withColumn("_b", F.substring("parent_asin", 1, 3))
-    sizes = ranged.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_b").orderBy("parent_asin")) - 1
-    return ranged.join(sizes, "_b").select((F.col("_before") + within).cast("bigint").alias("pos"), "parent_asin")
+    chosen = free(users, min(tries, n + n // 3 + 8))
+    short = lacking(users, chosen, F.lit(n))
+    if short.limit(1).count():
+        again = free(short.select("user_id"), tries)
+        chosen = chosen.join(short, "user_id", "left_anti").unionByName(again)
+        short, low, width = lacking(short.select("user_id"), again, F.lit(n)), 0, 4 * n
+        while low < size and short.limit(1).count():
+            high = min(size, low + width)
+            range_ = short.repartition(tasks, "user_id").select("user_id", "_need", F.explode(F.sequence(F.lit(low).cast("bigint"), F.lit(high - 1).cast("bigint"))).alias("pos"))
+            range_ = range_.join(taken, ["user_id", "pos"], "left_anti").join(again, ["user_id", "pos"], "left_anti")
+            got = range_.withColumn("_r", F.row_number().over(Window.partitionBy("user_id").orderBy("pos"))).where("_r <= _need").select("user_id", "pos")
+            got = store_table(got)
+            chosen = chosen.unionByName(got)
+            short, low, width = lacking(short, got, F.col("_need")), high, 8 * width
+    return chosen.join(places, "pos").select("user_id", "parent_asin")
 
 
 def candidates(train: DataFrame, test: DataFrame, n: int = 100, threshold: float = 4.0, seed: int = 42) -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tesselon.session import store_table
+
 
 def add_position(df: DataFrame, key: str, order: Sequence[Column], slot: Column, position: str = "_pos", count: str = "_cnt") -> DataFrame:
     """``df`` with each row's position (from 1) within its key and the key's number of rows.
@@ -38,9 +40,43 @@ def stable_order(seed: int, *keys: Column) -> Column:
 
 
 def sample_exactly(df: DataFrame, n: int | None, seed: int, *keys: Column) -> DataFrame:
-    """Exactly ``n`` rows (all, if there are no more or ``n`` is None), chosen by ``stable_order`` of the keys."""
+    """Exactly ``n`` rows (all, if there are no more or ``n`` is None), chosen by ``stable_order`` of the keys.
+
+    Rows whose order is beyond a bound, below which somewhat more than ``n`` lie, are left out before the others are
+    ordered, so a task hands on its share of the ``n`` rows and not ``n`` of its own. The rows are counted for the bound.
+    """
     if n is None:
         return df
     if n < 0:
         raise ValueError("n must not be negative")
-    return df.orderBy(stable_order(seed, *keys), *keys).limit(n)
+    total = df.count()
+    if n >= total:
+        return df
+    place = stable_order(seed, *keys)
+    ordered = lambda rows: rows.orderBy(place, *keys).limit(n)
+    bound = int((n + 6 * n**0.5 + 50) / total * 16**12)
+    if bound < 16**12:
+        below = df.where(place < f"{bound:012x}")
+        if below.count() >= n:
+            return ordered(below)
+    return ordered(df)  # keys that repeat can share one place
+
+
+def numbered(df: DataFrame, number: str, *order: Column) -> DataFrame:
+    """``df`` with each row's number in ``order``, from 0; stored, so numbers stay.
+
+    Ranges of rows are ordered in tasks of their own and counted, and the counts give the number a range begins with, so
+    no task orders all rows, however many are equal in a part of the order.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = store_table(ranged)  # a partition's number is in the upper bits of _at
+    sizes = ranged.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_before"))  # a row for each task that wrote
+    placed = ranged.join(F.broadcast(starts), F.shiftright("_at", 33) == F.col("_part"))
+    return placed.withColumn(number, F.col("_before") + F.col("_at").bitwiseAND(F.lit(2**33 - 1))).select(*df.columns, number)
+
+
+def number_keys(df: DataFrame, key: str, number: str) -> DataFrame:
+    """``(key, number)``: the distinct keys that aren't null, numbered from 0 in their order."""
+    return numbered(df.select(key).where(F.col(key).isNotNull()).distinct(), number, F.col(key))
