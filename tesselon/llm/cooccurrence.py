@@ -4,25 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tesselon.operators.pairs import CHUNK, basket_pairs, item_pair
 from tesselon.session import store_table
 
-#: Baskets up to this size are multiplied out in one row; larger ones are cut into chunks of about this many items.
-CHUNK = 256
-#: Items too frequent to reach the wanted lift are sent to all tasks only if they are no more than this.
-SMALL_SIDE = 10_000
-
-
-def _pairs_of(items: Column) -> Column:
-    """All (a, b) with a before b of an ascending array without repetition."""
-    rest = lambda a, i: F.transform(F.slice(items, i + 2, F.size(items)), lambda b: F.struct(a.alias("a"), b.alias("b")))
-    return F.flatten(F.transform(items, rest))
-
-
-def _products(left: Column, right: Column) -> Column:
-    """All pairs of an element of either array, the lesser first."""
-    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    return F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: pair(a, b))))
-
 
 def cooccurrence(df: DataFrame, basket: Column, item: Column, *, min_count: int = 1, min_lift: float = 0.0, chunk: int = CHUNK) -> DataFrame:
     """One row per pair of items found in one basket: ``(item_a, item_b, weight_count, n_a, n_b, weight_jaccard, lift)``.
@@ -36,33 +20,19 @@ def cooccurrence(df: DataFrame, basket: Column, item: Column, *, min_count: int
     any such pair and are set aside before pairs are made.
 
     A basket above ``chunk`` items is cut into item chunks by hash, and each pair of its chunks is a row of its own that
-    any task can multiply out; no task holds a whole large basket. Pairs are combined by partial counts before the shuffle.
+    any task can multiply out; no task holds a whole large basket (``basket_pairs``). Pairs are combined by partial counts
+    before the shuffle. With neither least every pair ever seen together comes out, up to the sum of the squares of all
+    baskets: at scale give a ``min_count``.
     """
-    rows = store_table(df.select(basket.alias("_u"), item.alias("_i")).where("_u is not null and _i is not null").distinct())
-    n_baskets = rows.select("_u").distinct().count()
-    items = rows.groupBy("_i").agg(F.count(F.lit(1)).alias("_n"))
+    rows = store_table(df.select(basket.alias("basket"), item.alias("item")).where("basket is not null and item is not null").distinct())
+    n_baskets = rows.agg(F.count_distinct("basket")).first()[0]
+    items = store_table(rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")))
     useful = rows
-    if min_lift > 0:
-        too_many = items.where(F.col("_n") * F.lit(float(min_lift)) > F.lit(float(n_baskets))).select("_i")
-        small = too_many.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
-        useful = useful.join(F.broadcast(too_many) if small else too_many, "_i", "left_anti")
-    if min_count > 2:
-        useful = useful.join(items.where(F.col("_n") >= min_count).select("_i"), "_i", "left_semi")
-
-    # a basket's items are met in parts of a bounded size: part 0 of ordinary baskets, hashed chunks of large ones
-    sizes = useful.groupBy("_u").agg(F.count(F.lit(1)).alias("_s"))
-    large = sizes.where(F.col("_s") > chunk).select(F.col("_u").alias("_lu"), F.ceil(F.col("_s") / F.lit(chunk)).alias("_k"))
-    ordinary = useful.join(large, F.col("_u") == F.col("_lu"), "left_anti")
-    pairs = ordinary.groupBy("_u").agg(F.array_sort(F.collect_list("_i")).alias("_b")).where(F.size("_b") > 1).select(F.explode(_pairs_of(F.col("_b"))).alias("p")).select("p.a", "p.b")
-
-    cut = useful.join(large, F.col("_u") == F.col("_lu")).select("_u", "_i", "_k", F.pmod(F.xxhash64("_i"), F.col("_k")).alias("_c"))
-    blocks = cut.select("_u", "_i", "_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1)).alias("_o")).select("_u", F.least("_c", "_o").alias("_x"), F.greatest("_c", "_o").alias("_y"), (F.col("_c") <= F.col("_o")).alias("_left"), "_i", "_c", "_o")
-    sides = blocks.groupBy("_u", "_x", "_y").agg(F.array_sort(F.collect_list(F.when(F.col("_left"), F.col("_i")))).alias("_l"), F.array_sort(F.collect_list(F.when(~F.col("_left"), F.col("_i")))).alias("_r"))
-    made = F.when(F.col("_x") == F.col("_y"), _pairs_of(F.col("_l"))).otherwise(_products(F.col("_l"), F.col("_r")))
-    pairs = pairs.unionByName(sides.select(F.explode(made).alias("p")).select("p.a", "p.b"))
-
-    counts = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight_count")).where(F.col("weight_count") >= min_count)
-    counts = counts.join(items.select(F.col("_i").alias("a"), F.col("_n").alias("n_a")), "a").join(items.select(F.col("_i").alias("b"), F.col("_n").alias("n_b")), "b")
+    if min_lift > 0 or min_count > 1:
+        most = F.col("n") * F.lit(float(min_lift)) <= F.lit(float(n_baskets))
+        useful = store_table(rows.join(items.where((F.col("n") >= min_count) & most).select("item"), "item", "left_semi"))
+    counts = basket_pairs(useful, item_pair, chunk).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("weight_count")).where(F.col("weight_count") >= min_count)
+    counts = counts.join(items.select(F.col("item").alias("a"), F.col("n").alias("n_a")), "a").join(items.select(F.col("item").alias("b"), F.col("n").alias("n_b")), "b")
     product = F.col("n_a").cast("double") * F.col("n_b")
     out = counts.select(
         F.col("a").alias("item_a"), F.col("b").alias("item_b"), "weight_count", "n_a", "n_b",
