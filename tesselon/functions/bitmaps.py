@@ -171,13 +171,14 @@ class TypeCounters:
         times[at] = np.maximum(times[at], latest)
         self.seen, self.latest = seen, times
 
-    def add_events(self, ordinals: np.ndarray, amounts: np.ndarray, times: np.ndarray) -> None:
+    def add_events(self, ordinals: np.ndarray, weights: np.ndarray, amounts: np.ndarray, times: np.ndarray) -> None:
+        """Events of the ordinals; a weight is the number of events that a row stands for, with their amounts' sum and latest time."""
         order = np.lexsort((times, ordinals))
-        ordinals, amounts, times = ordinals[order], amounts[order], times[order]
+        ordinals, weights, amounts, times = ordinals[order], weights[order], amounts[order], times[order]
         starts = np.flatnonzero(np.concatenate(([True], ordinals[1:] != ordinals[:-1])))
         ends = np.append(starts[1:], len(ordinals))
         own = ordinals[starts]
-        self.counts.add(SlicedCounter.of(own, ends - starts))
+        self.counts.add(SlicedCounter.of(own, np.add.reduceat(weights, starts)))
         self.totals.add(SlicedCounter.of(own, np.add.reduceat(amounts, starts)))
         self._times(own, times[ends - 1])
 

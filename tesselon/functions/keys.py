@@ -11,10 +11,21 @@ WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u
 SECONDS_BELOW = 100_000_000_000
 
 
+def _plain_ends(col: Column) -> Column:
+    """True if the first and the last character are printable ASCII, which most keys' are; a check much cheaper than trimming."""
+    return F.left(col, F.lit(1)).between("!", "~") & F.right(col, F.lit(1)).between("!", "~")
+
+
 def clean_key(col: Column | str) -> Column:
     """Without white space at the ends, in upper case; null stays null and a blank key becomes the empty string."""
     col = F.col(col) if isinstance(col, str) else col
-    return F.upper(F.btrim(col, F.lit(WHITE_SPACE)))
+    return F.upper(F.when(_plain_ends(col), col).otherwise(F.btrim(col, F.lit(WHITE_SPACE))))
+
+
+def not_blank(col: Column | str) -> Column:
+    """True if ``clean_key`` isn't the empty string, without making it; null for null."""
+    col = F.col(col) if isinstance(col, str) else col
+    return F.left(col, F.lit(1)).between("!", "~") | (F.btrim(col, F.lit(WHITE_SPACE)) != "")
 
 
 def epoch_millis(col: Column | str) -> Column:

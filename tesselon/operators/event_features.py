@@ -4,7 +4,7 @@ Each task keeps, for every event type, counts and totals as bit slices: compress
 a batch of events is added for all entities at once by carry addition. Latest times lie in an array in the order of the
 ordinals. Decoding the slices gives the features of an entity.
 
-An entity's events meet in one task, except for the few entities with a large share of all rows: theirs are dealt over
+An entity's events meet in one task, except for entities with more rows than a task should take: theirs are dealt over
 all tasks by a hash of the whole event, counted there, and the tasks' slices are merged by carry addition too.
 """
 
@@ -19,10 +19,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tesselon.functions.bitmaps import TypeCounters
 from tesselon.functions.keys import distinct_names
-from tesselon.operators.key_profile import hot_keys
-
-#: An entity with this share of the rows or more is dealt over all tasks; at most ``1 / HOT_SHARE`` entities have it.
-HOT_SHARE = 1 / 256
+from tesselon.session import store_table
+
+#: Rows of one entity from which on they are dealt over all tasks.
+HOT_ROWS = 50_000
+#: Entities that are dealt at most, those with most rows; any other has less than one row in so many of all.
+HOT_MOST = 20_000
+#: Hot entities in one row of slices, so that merging one type's slices takes bounded memory.
+HOT_BLOCK = 512
+#: Parts that an entity's rows are dealt into.
+DEAL = 1024
 #: Events gathered before they are added to the slices.
 ADD_ROWS = 200_000
 
@@ -31,21 +37,16 @@ _CELL = pa.struct([("type_a", pa.int64()), ("type_b", pa.int64()), ("n", pa.int6
 
 
 class _Counting:
-    """The counters of one task, by event type."""
+    """The counters of one task, by event type (and, of hot entities, by block)."""
 
-    def __init__(self, ordinals: dict[str, int] | None = None) -> None:
-        self.fixed, self.ordinals, self.types = ordinals is not None, dict(ordinals or {}), {}
-        self.held: list[tuple] = []
+    def __init__(self) -> None:
+        self.types: dict[tuple[int, ...], TypeCounters] = {}
+        self.held: list[tuple[np.ndarray, ...]] = []
         self.rows = 0
 
-    def take(self, batch: pa.RecordBatch) -> None:
-        codes = batch.column(0).dictionary_encode()
-        names = codes.dictionary.to_pylist()
-        if not self.fixed:
-            for name in names:
-                self.ordinals.setdefault(name, len(self.ordinals))
-        at = np.array([self.ordinals[x] for x in names], dtype=np.int64)[codes.indices.to_numpy(zero_copy_only=False)]
-        self.held.append((at, *(batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))))
+    def take(self, at: np.ndarray, *columns: np.ndarray) -> None:
+        """Ordinals, the columns of the type, and of each event its weight, amount and time."""
+        self.held.append((at, *columns))
         self.rows += len(at)
         if self.rows >= ADD_ROWS:
             self.add()
@@ -53,13 +54,13 @@ class _Counting:
     def add(self) -> None:
         if not self.rows:
             return
-        at, a, b, amount, time = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        at, *kind, n, amount, time = (np.concatenate(x) for x in zip(*self.held, strict=True))
         self.held, self.rows = [], 0
-        order = np.lexsort((b, a))
-        at, a, b, amount, time = at[order], a[order], b[order], amount[order], time[order]
-        cuts = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
-        for i, j in zip([0, *cuts], [*cuts, len(a)], strict=True):
-            self.types.setdefault((int(a[i]), int(b[i])), TypeCounters()).add_events(at[i:j], amount[i:j], time[i:j])
+        order = np.lexsort(kind[::-1])
+        at, n, amount, time, *kind = (x[order] for x in (at, n, amount, time, *kind))
+        cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in kind])) + 1
+        for i, j in zip([0, *cuts], [*cuts, len(at)], strict=True):
+            self.types.setdefault(tuple(int(k[i]) for k in kind), TypeCounters()).add_events(at[i:j], n[i:j], amount[i:j], time[i:j])
 
 
 def _rows(types: dict[tuple[int, int], TypeCounters], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -80,15 +81,17 @@ def _rows(types: dict[tuple[int, int], TypeCounters], names: list[str]) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in at[own]], pa.string()), pa.ListArray.from_arrays(offsets, cells)], ["entity", "cells"])
 
 
-def _count_cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counting = _Counting()
-    for batch in batches:
-        counting.take(batch)
-    counting.add()
-    yield from _rows(counting.types, list(counting.ordinals))
+#: What a task hands out: cells of ordinary entities, and slices of hot ones.
+_COUNTED = pa.schema([("entity", pa.string()), ("cells", pa.list_(_CELL)), ("a", pa.int64()), ("b", pa.int64()), ("block", pa.int64()), ("slices", pa.binary())])
+COUNTED = f"entity string, cells array<{CELL}>, a bigint, b bigint, block bigint, slices binary"
+
+
+def _filled(batch: pa.RecordBatch) -> pa.RecordBatch:
+    have = {batch.schema.names[k]: batch.column(k) for k in range(batch.num_columns)}
+    return pa.RecordBatch.from_arrays([have[f.name] if f.name in have else pa.nulls(len(batch), f.type) for f in _COUNTED], schema=_COUNTED)
 
 
-def entity_features(events: DataFrame, entity: Column, type_a: Column, type_b: Column, amount: Column, time: Column, *, distinct_by: tuple[str, ...] = (), entity_name: str = "entity", hot_share: float = HOT_SHARE) -> DataFrame:
+def entity_features(events: DataFrame, entity: Column, type_a: Column, type_b: Column, amount: Column, time: Column, *, distinct_by: tuple[str, ...] = (), entity_name: str = "entity", hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per entity: ``(entity_name, cells)``; entities come out as strings.
 
     An event type is a pair of whole numbers. ``cells`` is an array of structs, one for each type the entity has, in the
@@ -97,44 +100,65 @@ def entity_features(events: DataFrame, entity: Column, type_a: Column, type_b: C
     out. With ``distinct_by``, rows equal in the entity and these columns are counted once, and type, amount and time
     must be functions of these columns. An empty table gives no rows; a negative amount raises. Other columns of
     ``events`` and their names have no influence.
+
+    ``events`` is read twice, for the entities with at least ``hot_rows`` rows and for the features. Without
+    ``distinct_by`` events of one entity and type are combined before the shuffle; with it they can't be, as copies may
+    lie in different tasks, and one shuffle serves both their removal and the counting.
     """
     distinct_names(entity_name, "cells")
     entity = entity.cast("string")
     parts = {"_a": type_a, "_b": type_b, "_v": amount, "_t": time}
     cast = [c.cast("bigint").alias(n) for n, c in parts.items()]
-    # with a mark in front, as a blank entity is one too here; at most 1 / hot_share come out
-    hot = sorted(r["hot_key"][1:] for r in hot_keys(events, {"e": F.concat(F.lit("="), entity)}, F.lit(1), hot_share).select("hot_key").collect())
+    busy = events.select(entity.alias("_e")).where("_e is not null").groupBy("_e").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_rows)
+    hot = sorted(r["_e"] for r in busy.orderBy(F.desc("_n")).limit(HOT_MOST).collect())
     rows = events.select(entity.alias("_e"), *(distinct_by or cast)).where("_e is not null")
-
-    def kept(part: DataFrame, *keys: str) -> DataFrame:
-        """One shuffle by ``keys`` serves both the removal of copies and the counting."""
-        part = part.repartition(*keys)
-        part = part.dropDuplicates([*keys, *distinct_by]).select("_e", *cast) if distinct_by else part.select("_e", *parts)
-        return part.dropna(subset=list(parts))
-
-    out = kept(rows.where(~F.col("_e").isin(hot)) if hot else rows, "_e").mapInArrow(_count_cold, f"entity string, cells array<{CELL}>")
-    if hot:
-        ordinals = {name: i for i, name in enumerate(hot)}
-
-        def count_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counting = _Counting(ordinals)
-            for batch in batches:
-                counting.take(batch)
-            counting.add()
-            if counting.types:
-                keys = list(counting.types)
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([counting.types[k].dump() for k in keys], pa.binary())], ["_a", "_b", "slices"])
-
-        def merge(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-            whole = TypeCounters()
-            for data in part["slices"]:
-                whole.merge(TypeCounters.load(data))
-            seen, n, total, latest = whole.decode()
-            return pd.DataFrame({"entity": [hot[i] for i in seen], "type_a": int(key[0]), "type_b": int(key[1]), "n": n, "total": total, "latest": latest})
-
-        dealt = rows.where(F.col("_e").isin(hot)).withColumn("_deal", F.pmod(F.xxhash64(*(distinct_by or parts)), F.lit(1024)))
-        partial = kept(dealt, "_e", "_deal").mapInArrow(count_hot, "_a bigint, _b bigint, slices binary")
-        cells = partial.groupBy("_a", "_b").applyInPandas(merge, "entity string, type_a bigint, type_b bigint, n bigint, total bigint, latest bigint")
-        cell = F.struct("type_a", "type_b", "n", "total", "latest")
-        out = out.unionByName(cells.groupBy("entity").agg(F.array_sort(F.collect_list(cell)).alias("cells")))
-    return out.withColumnRenamed("entity", entity_name)
+    deal = F.pmod(F.xxhash64(*(distinct_by or parts)), F.lit(DEAL)).cast("int") + 1
+    rows = rows.withColumn("_deal", F.when(F.col("_e").isin(hot), deal).otherwise(0) if hot else F.lit(0))
+    if distinct_by:
+        rows = rows.repartition("_e", "_deal").dropDuplicates(["_e", "_deal", *distinct_by]).select("_e", "_deal", *cast).dropna(subset=list(parts))
+        rows = rows.select("_e", "_deal", "_a", "_b", F.lit(1).cast("bigint").alias("_w"), "_v", "_t")
+    else:
+        rows = rows.dropna(subset=list(parts)).groupBy("_e", "_deal", "_a", "_b")
+        negative = F.raise_error(F.lit("amounts must not be negative")).cast("bigint")
+        rows = rows.agg(F.count(F.lit(1)).alias("_w"), F.sum(F.when(F.col("_v") < 0, negative).otherwise(F.col("_v"))).alias("_v"), F.max("_t").alias("_t"))
+        rows = rows.repartition("_e", "_deal")
+    ordinals = {name: i for i, name in enumerate(hot)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, dealt, names = _Counting(), _Counting(), {}
+        for batch in batches:
+            codes = batch.column(0).dictionary_encode()
+            of_batch = codes.dictionary.to_pylist()
+            code = codes.indices.to_numpy(zero_copy_only=False)
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 7)]
+            busy = np.flatnonzero(columns[0] > 0)
+            rest = np.flatnonzero(columns[0] == 0)
+            if len(rest):
+                at = np.array([-1 if x in ordinals else names.setdefault(x, len(names)) for x in of_batch], dtype=np.int64)[code[rest]]
+                own.take(at, *(c[rest] for c in columns[1:]))
+            if len(busy):
+                at = np.array([ordinals.get(x, -1) for x in of_batch], dtype=np.int64)[code[busy]]
+                a, b, *values = (c[busy] for c in columns[1:])
+                dealt.take(at % HOT_BLOCK, a, b, at // HOT_BLOCK, *values)
+        own.add()
+        dealt.add()
+        yield from map(_filled, _rows(own.types, list(names)))
+        for (a, b, block), counters in dealt.types.items():
+            yield _filled(pa.RecordBatch.from_arrays([pa.array([a]), pa.array([b]), pa.array([block]), pa.array([counters.dump()], pa.binary())], ["a", "b", "block", "slices"]))
+
+    counted = rows.mapInArrow(count, COUNTED)
+    if not hot:
+        return counted.select(F.col("entity").alias(entity_name), "cells")
+    counted = store_table(counted)
+
+    def merge(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        whole = TypeCounters()
+        for data in part["slices"]:
+            whole.merge(TypeCounters.load(data))
+        seen, n, total, latest = whole.decode()
+        return pd.DataFrame({"entity": [hot[int(key[2]) * HOT_BLOCK + i] for i in seen], "type_a": int(key[0]), "type_b": int(key[1]), "n": n, "total": total, "latest": latest})
+
+    merged = counted.where("slices is not null").groupBy("a", "b", "block").applyInPandas(merge, "entity string, type_a bigint, type_b bigint, n bigint, total bigint, latest bigint")
+    cell = F.struct("type_a", "type_b", "n", "total", "latest")
+    merged = merged.groupBy("entity").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    return counted.where("entity is not null").select("entity", "cells").unionByName(merged).withColumnRenamed("entity", entity_name)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tesselon.functions.keys import WHITE_SPACE, clean_key, epoch_millis, utc_month
+from tesselon.functions.keys import WHITE_SPACE, clean_key, epoch_millis, not_blank, utc_month
 from tesselon.operators.event_features import entity_features
 from tesselon.operators.key_profile import hot_keys, key_history, key_profile
 
@@ -18,8 +18,9 @@ def _train(spark: SparkSession, d: str) -> DataFrame:
 
 def valid_train(spark: SparkSession, d: str) -> DataFrame:
     """The valid rows: keys in normal form and neither null nor blank, a rating."""
-    rows = _train(spark, d).select(clean_key("user_id").alias("user_id"), clean_key("parent_asin").alias("parent_asin"), "rating", "timestamp")
-    return rows.where("user_id <> '' and parent_asin <> '' and rating is not null")
+    # keys are made after the filter, which would otherwise make them too
+    rows = _train(spark, d).where(F.col("rating").isNotNull() & not_blank("user_id") & not_blank("parent_asin"))
+    return rows.select(clean_key("user_id").alias("user_id"), clean_key("parent_asin").alias("parent_asin"), "rating", "timestamp")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesselon.functions.bitmaps import Bitmap, SlicedCounter, TypeCounters
-from tesselon.functions.keys import clean_key, epoch_millis, utc_month
+from tesselon.functions.keys import clean_key, epoch_millis, not_blank, utc_month
+from tesselon.operators import event_features
 from tesselon.operators.event_features import entity_features
 from tesselon.operators.key_profile import hot_keys, key_history, key_profile
 
@@ -16,6 +17,9 @@ from tesselon.operators.key_profile import hot_keys, key_history, key_profile
 def test_keys_and_times(spark):
     row = spark.createDataFrame([("\t ab1 ", 1_600_000_000, None)], "k string, t bigint, n string").select(clean_key("k").alias("k"), epoch_millis("t").alias("ms"), utc_month(epoch_millis("t")).alias("m"), clean_key("n").alias("n")).first()
     assert tuple(row) == ("AB1", 1_600_000_000_000, 202009, None)
+    odd = spark.createDataFrame([("",), (" \u3000",), ("\xa0é b\x85",), ("~x!",), ("x\x7f",), (None,), (" ~",), ("~ ",)], "k string")
+    assert [r[0] for r in odd.select(clean_key("k")).collect()] == ["", "", "É B", "~X!", "X\x7f", None, "~", "~"]
+    assert [r[0] for r in odd.select(not_blank("k")).collect()] == [False, False, True, True, True, None, True, True]
     assert spark.range(1).select(utc_month(F.lit(-1)).alias("m")).first()["m"] == 196912
 
 
@@ -102,7 +106,7 @@ def test_type_counters_merge():
     rng, parts, want = np.random.default_rng(1), [TypeCounters() for _ in range(3)], defaultdict(lambda: [0, 0, -1])
     for part in parts:
         at, amount, time = rng.integers(0, 50, 200), rng.integers(0, 9, 200), rng.integers(0, 1000, 200)
-        part.add_events(at, amount, time)
+        part.add_events(at, np.ones(len(at), np.int64), amount, time)
         for o, v, t in zip(at.tolist(), amount.tolist(), time.tolist(), strict=True):
             want[o] = [want[o][0] + 1, want[o][1] + v, max(want[o][2], t)]
     whole = TypeCounters()
@@ -112,15 +116,19 @@ def test_type_counters_merge():
     assert {o: list(x) for o, *x in zip(seen.tolist(), n.tolist(), total.tolist(), latest.tolist(), strict=True)} == dict(want)
 
 
-@pytest.mark.parametrize("share", [0.3, 1.0])
-def test_entity_features_against_brute_force(spark, share):
+@pytest.mark.parametrize("distinct", [True, False])
+@pytest.mark.parametrize("hot", [0, 1, 20, None])
+def test_entity_features_against_brute_force(spark, monkeypatch, distinct, hot):
+    """With all entities dealt, all but rare ones, only the hot one, and that one just below the bound."""
+    monkeypatch.setattr(event_features, "HOT_BLOCK", 7)
     rng = random.Random(2)
     rows = [(rng.choice(["hot", "hot", "", f"u{rng.randrange(40)}", None]), f"i{rng.randrange(4)}", rng.choice([1.0, 4.5, None]), rng.choice([None, 5 + rng.randrange(300)])) for _ in range(2000)]
+    n_hot = sum(u == "hot" for u, *_ in rows)
     df = spark.createDataFrame(rows, "u string, i string, r double, t bigint").withColumn("cells", F.lit("clash"))
     half = (2 * F.col("r")).cast("bigint")
-    got = entity_features(df, F.col("u"), half, F.floor(F.col("t") / 50), half, F.col("t"), distinct_by=("i", "r", "t"), hot_share=share).collect()
+    got = entity_features(df, F.col("u"), half, F.floor(F.col("t") / 50), half, F.col("t"), distinct_by=("i", "r", "t") if distinct else (), hot_rows={0: 0, 1: n_hot, 20: 20, None: n_hot + 1}[hot]).collect()
     want = defaultdict(lambda: defaultdict(lambda: [0, 0, -1]))
-    for u, i, r, t in set(rows):
+    for u, i, r, t in set(rows) if distinct else rows:
         if None not in (u, r, t):
             c = want[u][int(2 * r), t // 50]
             c[0] += 1
@@ -132,6 +140,13 @@ def test_entity_features_against_brute_force(spark, share):
     assert entity_features(df.limit(0), F.col("u"), half, F.lit(1), half, F.col("t")).count() == 0
 
 
+@pytest.mark.parametrize("distinct", [(), ("v",)])
+def test_negative_amounts_raise(spark, distinct):
+    df = spark.createDataFrame([("a", -1)], "u string, v bigint")
+    with pytest.raises(Exception, match="negative"):
+        entity_features(df, F.col("u"), F.lit(1), F.lit(1), F.col("v"), F.lit(1), distinct_by=distinct).collect()
+
+
 def test_names_that_would_clash(spark):
     df = spark.createDataFrame([(1, 2)], "k int, t bigint")
     with pytest.raises(ValueError):
