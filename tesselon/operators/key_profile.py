@@ -12,6 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tesselon.functions.keys import distinct_names
+from tesselon.session import store_table
+
+#: Different values of one key up to which one task adds them up for percentiles.
+WINDOW_VALUES = 200_000
 
 
 def value_frequencies(df: DataFrame, key: Column, value: Column) -> DataFrame:
@@ -23,7 +27,7 @@ def value_frequencies(df: DataFrame, key: Column, value: Column) -> DataFrame:
     return df.select(key.alias("_key"), value.alias("_value")).groupBy("_key", "_value").agg(F.count(F.lit(1)).alias("_n"))
 
 
-def key_profile(df: DataFrame, key: Column, value: Column, *, key_name: str = "key", percentiles: Sequence[float] = (), fine_values: bool = False) -> DataFrame:
+def key_profile(df: DataFrame, key: Column, value: Column, *, key_name: str = "key", percentiles: Sequence[float] = (), window_values: int = WINDOW_VALUES) -> DataFrame:
     """One row per key, complete for every key however many rows it has.
 
     Columns: ``key_name``, ``n_rows``, ``n_valued`` (rows whose value is not null), ``n_distinct`` (exact), ``mean``,
@@ -32,13 +36,15 @@ def key_profile(df: DataFrame, key: Column, value: Column, *, key_name: str = "k
     rows lies. ``mean`` is null unless values are numbers. A null key is a key; a key with only null values has
     ``n_distinct`` 0 and null statistics; an empty table gives an empty result.
 
-    ``fine_values``: values are numbers of which one key can have very many (such as times), so percentiles are found in
-    two steps, over ranges of values and then within a range, and no task sees a whole key.
+    With ``percentiles`` the weighted values are kept as a table. If no key has more than ``window_values`` of them, they
+    are added up key by key; else in ranges of (key, value) of about equal size, so no task sees a whole key.
     """
     if any(not 0 < p <= 1 for p in percentiles):
         raise ValueError("percentiles must lie in (0, 1]")
     distinct_names(key_name, "n_rows", "n_valued", "n_distinct", "mean", "mode", "mode_count", "minimum", "maximum", "percentiles")
     freq = value_frequencies(df, key, value)
+    if percentiles:
+        freq = store_table(freq)
     has = F.col("_value").isNotNull()
     numeric = freq.schema["_value"].dataType.typeName() in ("double", "float", "long", "integer", "short", "byte") or "decimal" in freq.schema["_value"].dataType.typeName()
     mean = F.sum(F.col("_value").cast("double") * F.col("_n")) / F.sum(F.when(has, F.col("_n"))) if numeric else F.lit(None).cast("double")
@@ -54,31 +60,21 @@ def key_profile(df: DataFrame, key: Column, value: Column, *, key_name: str = "k
         F.max("_value").alias("maximum"),
     )
     if percentiles:
-        found = _percentiles(freq.where(has), percentiles, fine_values)
+        most = freq.where(has).groupBy("_key").agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0
+        found = _percentiles(freq.where(has), percentiles, most > window_values)
         out = out.join(found, out["_key"].eqNullSafe(found["_k"]), "left").drop("_k")
     return out.withColumnRenamed("_key", key_name)
 
 
-def _percentiles(freq: DataFrame, percentiles: Sequence[float], fine: bool) -> DataFrame:
-    """``(_k, percentiles)`` from the non-null weighted values.
-
-    Coarse: the distinct values of a key are few, so one window over the compressed rows of a key does. Fine: the window
-    over a key runs over ranges (a range is the leading bits of the number, some thousands a power of two), and a second
-    window runs within a range.
-    """
-    if fine:
-        magnitude = F.abs(F.col("_value").cast("double"))
-        power = F.floor(F.log2(F.greatest(magnitude, F.lit(1e-300))))
-        step = F.floor(magnitude / F.pow(F.lit(2.0), power) * 4096)
-        freq = freq.withColumn("_range", F.signum(F.col("_value").cast("double")) * (power * 16384 + step + 2**25))
-    else:
-        freq = freq.withColumn("_range", F.lit(0.0))
-    ranges = freq.groupBy("_key", "_range").agg(F.sum("_n").alias("_m")) if fine else None
-    if fine:
+def _percentiles(freq: DataFrame, percentiles: Sequence[float], ranges: bool) -> DataFrame:
+    """``(_k, percentiles)`` from the non-null weighted values."""
+    if ranges:
+        freq = store_table(freq.repartitionByRange("_key", "_value").withColumn("_range", F.spark_partition_id()))
         whole = Window.partitionBy("_key")
         upto = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-        ranges = ranges.select(F.col("_key").alias("_rk"), F.col("_range").alias("_rr"), F.coalesce(F.sum("_m").over(upto), F.lit(0)).alias("_before"), F.sum("_m").over(whole).alias("_all"))
-        freq = freq.join(ranges, F.col("_key").eqNullSafe(F.col("_rk")) & (F.col("_range") == F.col("_rr"))).drop("_rk", "_rr")
+        sums = freq.groupBy("_key", "_range").agg(F.sum("_n").alias("_m"))
+        sums = sums.select(F.col("_key").alias("_rk"), F.col("_range").alias("_rr"), F.coalesce(F.sum("_m").over(upto), F.lit(0)).alias("_before"), F.sum("_m").over(whole).alias("_all"))
+        freq = freq.join(sums, F.col("_key").eqNullSafe(F.col("_rk")) & (F.col("_range") == F.col("_rr")))
         running = F.col("_before") + F.sum("_n").over(Window.partitionBy("_key", "_range").orderBy("_value"))
     else:
         freq = freq.withColumn("_all", F.sum("_n").over(Window.partitionBy("_key")))

@@ -51,7 +51,7 @@ def p1_item_users(spark: SparkSession, d: str) -> DataFrame:
 def p1_user_times(spark: SparkSession, d: str) -> DataFrame:
     """Per user: median and 90th percentile of the event times, of which a busy user has very many."""
     rows = valid_train(spark, d).select("user_id", epoch_millis("timestamp").alias("t"))
-    out = key_profile(rows, F.col("user_id"), F.col("t"), key_name="user_id", percentiles=(0.5, 0.9), fine_values=True)
+    out = key_profile(rows, F.col("user_id"), F.col("t"), key_name="user_id", percentiles=(0.5, 0.9))
     return out.select("user_id", "n_rows", "n_valued", F.col("percentiles")[0].alias("median_ms"), F.col("percentiles")[1].alias("p90_ms"))
 
 

@@ -32,7 +32,7 @@ def _rows(n=3000):
 def test_profile_against_brute_force(spark, fine):
     rows = _rows()
     df = spark.createDataFrame(rows, "k string, v double, t bigint, n_rows string")
-    got = {r["k"]: r for r in key_profile(df, F.col("k"), F.col("t" if fine else "v"), key_name="k", percentiles=(0.01, 0.5, 1.0), fine_values=fine).collect()}
+    got = {r["k"]: r for r in key_profile(df, F.col("k"), F.col("t" if fine else "v"), key_name="k", percentiles=(0.01, 0.5, 1.0), window_values=0 if fine else 1000).collect()}
     by = defaultdict(list)
     for k, v, t, _ in rows:
         by[k].append(t if fine else v)
@@ -52,7 +52,7 @@ def test_profile_of_odd_tables(spark):
     assert (r["n_rows"], r["n_valued"], r["n_distinct"], r["mode"], r["percentiles"]) == (2, 0, 0, None, None)
     assert key_profile(df.limit(0), F.col("k"), F.col("v"), percentiles=(0.5,)).count() == 0
     negative = spark.createDataFrame([("a", float(v)) for v in (-8, -3, -1, 0, 2, 9)], "k string, v double")
-    assert key_profile(negative, F.col("k"), F.col("v"), percentiles=(0.5, 0.34), fine_values=True).first()["percentiles"] == [-1.0, -1.0]
+    assert key_profile(negative, F.col("k"), F.col("v"), percentiles=(0.5, 0.34), window_values=0).first()["percentiles"] == [-1.0, -1.0]
     with pytest.raises(ValueError):
         key_profile(df, F.col("k"), F.col("v"), percentiles=(0.0,))
 
