@@ -30,7 +30,7 @@ HOT_BLOCK = 512
 #: Parts that an entity's rows are dealt into.
 DEAL = 1024
 #: Events gathered before they are added to the slices.
-ADD_ROWS = 200_000
+ADD_ROWS = 1_000_000
 
 CELL = "struct<type_a:bigint,type_b:bigint,n:bigint,total:bigint,latest:bigint>"
 _CELL = pa.struct([("type_a", pa.int64()), ("type_b", pa.int64()), ("n", pa.int64()), ("total", pa.int64()), ("latest", pa.int64())])
@@ -45,7 +45,7 @@ class _Counting:
         self.rows = 0
 
     def take(self, at: np.ndarray, *columns: np.ndarray) -> None:
-        """Ordinals, the columns of the type, and of each event its weight, amount and time."""
+        """Ordinals, the columns of the type, and of each event its amount, time and weight."""
         self.held.append((at, *columns))
         self.rows += len(at)
         if self.rows >= ADD_ROWS:
@@ -54,10 +54,10 @@ class _Counting:
     def add(self) -> None:
         if not self.rows:
             return
-        at, *kind, n, amount, time = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        at, *kind, amount, time, n = (np.concatenate(x) for x in zip(*self.held, strict=True))
         self.held, self.rows = [], 0
         order = np.lexsort(kind[::-1])
-        at, n, amount, time, *kind = (x[order] for x in (at, n, amount, time, *kind))
+        at, amount, time, n, *kind = (x[order] for x in (at, amount, time, n, *kind))
         cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in kind])) + 1
         for i, j in zip([0, *cuts], [*cuts, len(at)], strict=True):
             self.types.setdefault(tuple(int(k[i]) for k in kind), TypeCounters()).add_events(at[i:j], n[i:j], amount[i:j], time[i:j])
@@ -116,11 +116,10 @@ def entity_features(events: DataFrame, entity: Column, type_a: Column, type_b: C
     rows = rows.withColumn("_deal", F.when(F.col("_e").isin(hot), deal).otherwise(0) if hot else F.lit(0))
     if distinct_by:
         rows = rows.repartition("_e", "_deal").dropDuplicates(["_e", "_deal", *distinct_by]).select("_e", "_deal", *cast).dropna(subset=list(parts))
-        rows = rows.select("_e", "_deal", "_a", "_b", F.lit(1).cast("bigint").alias("_w"), "_v", "_t")
     else:
         rows = rows.dropna(subset=list(parts)).groupBy("_e", "_deal", "_a", "_b")
         negative = F.raise_error(F.lit("amounts must not be negative")).cast("bigint")
-        rows = rows.agg(F.count(F.lit(1)).alias("_w"), F.sum(F.when(F.col("_v") < 0, negative).otherwise(F.col("_v"))).alias("_v"), F.max("_t").alias("_t"))
+        rows = rows.agg(F.sum(F.when(F.col("_v") < 0, negative).otherwise(F.col("_v"))).alias("_v"), F.max("_t").alias("_t"), F.count(F.lit(1)).alias("_w"))
         rows = rows.repartition("_e", "_deal")
     ordinals = {name: i for i, name in enumerate(hot)}
 
@@ -130,7 +129,9 @@ def entity_features(events: DataFrame, entity: Column, type_a: Column, type_b: C
             codes = batch.column(0).dictionary_encode()
             of_batch = codes.dictionary.to_pylist()
             code = codes.indices.to_numpy(zero_copy_only=False)
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 7)]
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, batch.num_columns)]
+            if len(columns) == 5:  # events of weight 1
+                columns.append(np.ones(len(code), np.int64))
             busy = np.flatnonzero(columns[0] > 0)
             rest = np.flatnonzero(columns[0] == 0)
             if len(rest):
@@ -158,7 +159,8 @@ def entity_features(events: DataFrame, entity: Column, type_a: Column, type_b: C
         seen, n, total, latest = whole.decode()
         return pd.DataFrame({"entity": [hot[int(key[2]) * HOT_BLOCK + i] for i in seen], "type_a": int(key[0]), "type_b": int(key[1]), "n": n, "total": total, "latest": latest})
 
-    merged = counted.where("slices is not null").groupBy("a", "b", "block").applyInPandas(merge, "entity string, type_a bigint, type_b bigint, n bigint, total bigint, latest bigint")
+    tasks = events.sparkSession.sparkContext.defaultParallelism  # not fewer, as the slices are small but their merging isn't
+    merged = counted.where("slices is not null").repartition(tasks, "a", "b", "block").groupBy("a", "b", "block").applyInPandas(merge, "entity string, type_a bigint, type_b bigint, n bigint, total bigint, latest bigint")
     cell = F.struct("type_a", "type_b", "n", "total", "latest")
     merged = merged.groupBy("entity").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     return counted.where("entity is not null").select("entity", "cells").unionByName(merged).withColumnRenamed("entity", entity_name)
