@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -29,6 +28,8 @@ HOT_MOST = 20_000
 HOT_BLOCK = 512
 #: Parts that an entity's rows are dealt into.
 DEAL = 1024
+#: Slices in one batch.
+SLICE_ROWS = 256
 #: Events gathered before they are added to the slices.
 ADD_ROWS = 1_000_000
 
@@ -144,23 +145,36 @@ def entity_features(events: DataFrame, entity: Column, type_a: Column, type_b: C
         own.add()
         dealt.add()
         yield from map(_filled, _rows(own.types, list(names)))
-        for (a, b, block), counters in dealt.types.items():
-            yield _filled(pa.RecordBatch.from_arrays([pa.array([a]), pa.array([b]), pa.array([block]), pa.array([counters.dump()], pa.binary())], ["a", "b", "block", "slices"]))
+        keys = list(dealt.types)
+        for i in range(0, len(keys), SLICE_ROWS):
+            part = keys[i : i + SLICE_ROWS]
+            kinds = [pa.array(c, pa.int64()) for c in zip(*part, strict=True)]
+            yield _filled(pa.RecordBatch.from_arrays([*kinds, pa.array([dealt.types[k].dump() for k in part], pa.binary())], ["a", "b", "block", "slices"]))
 
     counted = rows.mapInArrow(count, COUNTED)
     if not hot:
         return counted.select(F.col("entity").alias(entity_name), "cells")
     counted = store_table(counted)
 
-    def merge(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        whole = TypeCounters()
-        for data in part["slices"]:
-            whole.merge(TypeCounters.load(data))
-        seen, n, total, latest = whole.decode()
-        return pd.DataFrame({"entity": [hot[int(key[2]) * HOT_BLOCK + i] for i in seen], "type_a": int(key[0]), "type_b": int(key[1]), "n": n, "total": total, "latest": latest})
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The slices of one type and block, which follow each other, into one."""
+        last, whole = None, TypeCounters()
+        for batch in batches:
+            for *key, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if key != last:
+                    if last is not None:
+                        yield decoded(last, whole)
+                    last, whole = key, TypeCounters()
+                whole.merge(TypeCounters.load(data))
+        if last is not None:
+            yield decoded(last, whole)
+
+    def decoded(key: list[int], whole: TypeCounters) -> pa.RecordBatch:
+        seen, *values = whole.decode()
+        cells = pa.StructArray.from_arrays([pa.array(np.full(len(seen), key[0])), pa.array(np.full(len(seen), key[1])), *map(pa.array, values)], fields=list(_CELL))
+        return pa.RecordBatch.from_arrays([pa.array([hot[key[2] * HOT_BLOCK + i] for i in seen], pa.string()), cells], ["entity", "cell"])
 
     tasks = events.sparkSession.sparkContext.defaultParallelism  # not fewer, as the slices are small but their merging isn't
-    merged = counted.where("slices is not null").repartition(tasks, "a", "b", "block").groupBy("a", "b", "block").applyInPandas(merge, "entity string, type_a bigint, type_b bigint, n bigint, total bigint, latest bigint")
-    cell = F.struct("type_a", "type_b", "n", "total", "latest")
-    merged = merged.groupBy("entity").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    slices = counted.where("slices is not null").select("a", "b", "block", "slices").repartition(tasks, "a", "b", "block").sortWithinPartitions("a", "b", "block")
+    merged = slices.mapInArrow(merge, f"entity string, cell {CELL}").groupBy("entity").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
     return counted.where("entity is not null").select("entity", "cells").unionByName(merged).withColumnRenamed("entity", entity_name)
