@@ -114,7 +114,8 @@ def entity_features(events: DataFrame, entity: Column, type_a: Column, type_b: C
     hot = sorted(r["_e"] for r in busy.orderBy(F.desc("_n")).limit(HOT_MOST).collect())
     rows = events.select(entity.alias("_e"), *(distinct_by or cast)).where("_e is not null")
     deal = F.pmod(F.xxhash64(*(distinct_by or parts)), F.lit(DEAL)).cast("int") + 1
-    rows = rows.withColumn("_deal", F.when(F.col("_e").isin(hot), deal).otherwise(0) if hot else F.lit(0))
+    # never a constant, which Spark would take out of the keys below, and shuffle again by all of them
+    rows = rows.withColumn("_deal", F.when(F.col("_e").isin(hot), deal).otherwise(0) if hot else F.length("_e") * 0)
     if distinct_by:
         rows = rows.repartition("_e", "_deal").dropDuplicates(["_e", "_deal", *distinct_by]).select("_e", "_deal", *cast).dropna(subset=list(parts))
     else:

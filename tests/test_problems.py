@@ -121,6 +121,7 @@ def test_type_counters_merge():
 def test_entity_features_against_brute_force(spark, monkeypatch, distinct, hot):
     """With all entities dealt, all but rare ones, only the hot one, and that one just below the bound."""
     monkeypatch.setattr(event_features, "HOT_BLOCK", 7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that small tables have several partitions
     rng = random.Random(2)
     rows = [(rng.choice(["hot", "hot", "", f"u{rng.randrange(40)}", None]), f"i{rng.randrange(4)}", rng.choice([1.0, 4.5, None]), rng.choice([None, 5 + rng.randrange(300)])) for _ in range(2000)]
     n_hot = sum(u == "hot" for u, *_ in rows)
@@ -138,6 +139,7 @@ def test_entity_features_against_brute_force(spark, monkeypatch, distinct, hot):
     for row in got:
         assert [(c["type_a"], c["type_b"], c["n"], c["total"], c["latest"]) for c in row["cells"]] == [(*k, *v) for k, v in sorted(want[row["entity"]].items())]
     assert entity_features(df.limit(0), F.col("u"), half, F.lit(1), half, F.col("t")).count() == 0
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 @pytest.mark.parametrize("distinct", [(), ("v",)])
