@@ -22,7 +22,7 @@ from tesselon.llm.cooccurrence import cooccurrence
 from tesselon.llm.fm_index import FMIndex, suffix_order
 from tesselon.llm.leakage import Shard, leaks, removal_spans
 from tesselon.llm.packing import best_two_fit, pack, pack_texts, text_sizes
-from tesselon.llm.similar_vectors import similar_vectors
+from tesselon.llm.similar_vectors import bucket_dims, fitted, similar_vectors, true_pairs
 from tesselon.llm.splitting import PENALTY, PIECE, UNEVEN, best_cuts, split_texts
 from tesselon.llm.term_counts import term_counts
 from tesselon.llm.tokens import code_points, count_tokens, slices
@@ -132,6 +132,45 @@ def test_similar_vectors_recall(spark, options):
     assert recall >= 0.9
 
 
+def test_tables_are_as_many_as_the_sample_needs(spark):
+    """Neighbours that lie far away take more tables, or larger buckets, and are found all the same."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4000, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -2)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(unit)], "id bigint, v array<double>").repartition(5)
+    a, b = true_pairs(df, 64, 5, 100)
+    assert a.shape == b.shape == (500, 64)
+    fifth = np.sort(sims, axis=1)[:, -5]
+    assert ((a * b).sum(axis=1) >= fifth[np.argmax(a @ unit.T, axis=1)] - 1e-5).all()
+    close, far = ((u, (u + s * rng.normal(size=u.shape) / 8).astype(np.float32)) for u, s in ((a, 0.1), (a, 6.0)))
+    n = 10_000_000
+    (t1, d1, p1), (t2, d2, _) = (fitted(*pairs, n, 64, 0.95, None, None) for pairs in (close, far))
+    assert t1 <= 4 and d1 == bucket_dims(n, 64) and p1 >= 2
+    assert np.prod([2 * d for d in d2]) < np.prod([2 * d for d in d1])
+    with pytest.raises(ValueError):
+        fitted(*far, n, 64, 0.999, [64, 64], 1)
+    got = similar_vectors(df, F.col("id").cast("string"), F.col("v"), F.col("id"), 64, 5, large=300).collect()
+    found = defaultdict(set)
+    for r in got:
+        found[int(r["item"])].add(int(r["neighbour"]))
+    assert np.mean([len(set(np.argsort(-sims[i])[:5].tolist()) & found[i]) / 5 for i in range(4000)]) >= 0.9
+
+
+def test_least_cosine_is_exact(spark):
+    """Of many near ties those with the greatest cosines come out, and none below the least."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=16) + 0.12 * rng.normal(size=(300, 16))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -2)
+    least = float(np.sort(sims.ravel())[-3000:].mean())
+    got = similar_vectors(spark.createDataFrame([(f"{k:03d}", v.tolist(), k) for k, v in enumerate(x)], "i string, v array<double>, o int"), F.col("i"), F.col("v"), F.col("o"), 16, 4, min_cosine=least).collect()
+    want = {(i, int(j)): r + 1 for i in range(300) for r, j in enumerate(np.argsort(-sims[i])[:4]) if sims[i, j] >= least}
+    assert {(int(r["item"]), int(r["neighbour"])): r["rank"] for r in got} == want
+
+
 def test_copies_of_one_vector_keep_all_pairs(spark):
     rows = [(f"i{k:03d}", [1.0, 2.0, 3.0, 4.0], k) for k in range(90)]
     got = similar_vectors(spark.createDataFrame(rows, "item string, v array<double>, id bigint"), F.col("item"), F.col("v"), F.col("id"), 4, 3, large=20, min_cosine=0.9).collect()
