@@ -27,6 +27,8 @@ LARGE = 20_000
 CUT_MOST = 50_000
 #: With a least cosine vectors travel as whole numbers of 16 bits; cosines of these are off by less than SLACK.
 STEPS, SLACK, SPARE = 32_767, 1e-4, 6
+#: Ids of vectors that are sent to all tasks at most.
+FEW = 500_000
 SEED = 7
 
 
@@ -349,6 +351,11 @@ def similar_vectors(df: DataFrame, item: Column, vector: Column, order: Column,
     spread = vectors.mapInArrow(placed, "bucket bigint, part int, id bigint, own boolean, asks boolean, x binary")
     lists = spread.groupBy("bucket", "part").applyInArrow(in_bucket, "q bigint, m array<bigint>, c array<float>")
     best = lists.repartition("q").mapInArrow(merged, "q bigint, m bigint, rank bigint, cosine double")
+    if near:  # mostly few vectors have such neighbours, and only these are needed again
+        best = store_table(best.select("q", "m"))
+        if 2 * best.count() <= FEW:
+            ids = best.select(F.explode(F.array("q", "m")).alias("id")).distinct()
+            base = base.join(F.broadcast(ids), "id", "left_semi")
     named = lambda c, i, v: base.select(F.col("id").alias(c), F.col("item").alias(i), *([F.col("v").alias(v)] if near else []))
     best = best.join(named("q", "item", "_v"), "q").join(named("m", "neighbour", "_w"), "m")
     if near:
