@@ -15,10 +15,10 @@ BURST = 128
 class BurstTrie:
     """Inner nodes are dicts from a character to a subtree; leaves are containers, dicts from a suffix to its counters."""
 
-    __slots__ = ("burst", "root")
+    __slots__ = ("burst", "root", "terms")
 
     def __init__(self, burst: int = BURST) -> None:
-        self.burst, self.root = burst, _Leaf()
+        self.burst, self.root, self.terms = burst, _Leaf(), 0
 
     def add(self, term: str, occurrences: int, records: int) -> None:
         node, parent, depth = self.root, None, 0
@@ -26,6 +26,7 @@ class BurstTrie:
             parent = node
             if depth == len(term):
                 own = node.own
+                self.terms += own is None
                 node.own = (occurrences, records) if own is None else (own[0] + occurrences, own[1] + records)
                 return
             child = node.next.get(term[depth])
@@ -34,6 +35,7 @@ class BurstTrie:
             node, depth = child, depth + 1
         suffix = term[depth:]
         had = node.get(suffix)
+        self.terms += had is None
         node[suffix] = (occurrences, records) if had is None else (had[0] + occurrences, had[1] + records)
         if len(node) > self.burst:
             burst = _burst(node)

@@ -11,8 +11,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tesselon.llm.burst_trie import BurstTrie, pack, unpack
 from tesselon.session import cut_lineage
 
-#: Merging is routed by prefixes that carry at least one part in so many of all container entries.
-ROUTES = 1024
+#: A prefix under which at least one part in so many of all container entries lies is heavy and routed by its next
+#: character: a part for ROUTE_ENTRIES entries, but ROUTES_LEAST parts at least and ROUTES_MOST at most.
+ROUTES_LEAST, ROUTES_MOST, ROUTE_ENTRIES = 1024, 65_536, 250_000
+#: Characters by which prefixes grow in one round.
+LEVELS = 8
+#: Distinct terms that a task's trie holds before it is handed out and begun anew.
+TRIE_TERMS = 500_000
 #: Fixed value: the Java pattern for a run of white space.
 SPACES = r"(?U)[\s\x1c-\x1f]+"
 
@@ -23,13 +28,23 @@ def normal_term(col: Column) -> Column:
     return F.when(text != "", text)
 
 
-def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The containers of one task's burst trie over (term, occurrences) rows, one row for each record that has the term."""
+def _tries(batches: Iterator[pa.RecordBatch], most: int = TRIE_TERMS) -> Iterator[pa.RecordBatch]:
+    """The containers of burst tries over (term, occurrences) rows, one row for each record that has the term.
+
+    A trie is handed out when it holds ``most`` distinct terms, so a task's memory doesn't grow with its terms.
+    """
     trie = BurstTrie()
     for batch in batches:
         found = pa.Table.from_batches([batch]).group_by("term").aggregate([("occ", "sum"), ("occ", "count")])
         for term, occurrences, records in zip(*(found[c].to_pylist() for c in ("term", "occ_sum", "occ_count")), strict=True):
             trie.add(term, occurrences, records)
+        if trie.terms >= most:
+            yield from _leaf_batches(trie)
+            trie = BurstTrie()
+    yield from _leaf_batches(trie)
+
+
+def _leaf_batches(trie: BurstTrie) -> Iterator[pa.RecordBatch]:
     rows: list[tuple[str, int, bytes]] = []
     for path, container in trie.leaves():
         rows.append((path, len(container), pack(container)))
@@ -55,7 +70,57 @@ def _merge(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["term", "occurrences", "records"])
 
 
-def term_counts(df: DataFrame, record: Column, terms: Column, *, min_records: int = 5, max_share: float = 0.1, routes: int = ROUTES) -> DataFrame:
+def heavy_prefixes(paths: DataFrame, total: int, parts: int) -> frozenset[str]:
+    """The prefixes under which at least one part in ``parts`` of all entries lies, and ''; ``paths`` is (path, entries).
+
+    They are looked for in rounds of ``LEVELS`` characters. A round looks only at paths under a heavy prefix of the full
+    length of the round before and starts after what all its paths have in common, so long paths and long common
+    beginnings cost no more rounds. Heavy prefixes come to the driver: those of one length are at most ``parts``.
+    """
+    heavy = {""}
+    frontier = frozenset([""])
+    while frontier:
+        deepest = max(map(len, frontier))
+
+        def grown(batches: Iterator[pa.RecordBatch], frontier=frontier, deepest=deepest) -> Iterator[pa.RecordBatch]:
+            held: dict[str, list] = {}
+            for batch in batches:
+                for path, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    start = longest_prefix(path, frontier, deepest)
+                    for size in range(len(start) + 1, min(len(path), len(start) + LEVELS) + 1) if start is not None else ():
+                        own = held.setdefault(path[:size], [size == len(start) + LEVELS, 0, path, path])
+                        own[1:] = own[1] + entries, min(own[2], path), max(own[3], path)
+                if len(held) >= 100_000:
+                    yield _prefix_batch(held)
+                    held = {}
+            if held:
+                yield _prefix_batch(held)
+
+        found = paths.mapInArrow(grown, "prefix string, full boolean, n bigint, low string, high string").groupBy("prefix", "full").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        rows = {r["prefix"]: r for r in found.where(F.col("n") * parts >= total).collect()}
+        through = {p[:-1] for p, r in rows.items() if p[:-1] in rows and rows[p[:-1]]["n"] == r["n"]}  # nothing leaves there
+        ends = {p: r["low"][: _common(r["low"], r["high"])] for p, r in rows.items()}
+        heavy.update(ends[p] if rows[p]["full"] else p for p in rows.keys() - through)
+        frontier = frozenset(ends[p] for p, r in rows.items() if r["full"] and r["low"] != r["high"])
+    return frozenset(heavy)
+
+
+def longest_prefix(text: str, prefixes: frozenset[str], most: int) -> str | None:
+    """The longest of the prefixes, none longer than ``most``, with which a text begins."""
+    return next((text[:k] for k in range(min(most, len(text)), -1, -1) if text[:k] in prefixes), None)
+
+
+def _common(a: str, b: str) -> int:
+    """How many characters two texts have in common at their beginnings."""
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def _prefix_batch(held: dict[str, list]) -> pa.RecordBatch:
+    full, n, low, high = zip(*held.values(), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(full, pa.bool_()), pa.array(n, pa.int64()), pa.array(low, pa.string()), pa.array(high, pa.string())], ["prefix", "full", "n", "low", "high"])
+
+
+def term_counts(df: DataFrame, record: Column, terms: Column, *, min_records: int = 5, max_share: float = 0.1, routes: int | None = None, trie_terms: int = TRIE_TERMS) -> DataFrame:
     """One row per distinct term: ``(term, occurrences, records, mark)``.
 
     ``terms`` is an array of strings; its elements are compared in normal form (``normal_term``) and null or blank ones
@@ -64,24 +129,20 @@ def term_counts(df: DataFrame, record: Column, terms: Column, *, min_records: in
     adds a record without terms. ``mark`` is 'rare' in fewer than ``min_records`` records, 'common' in more than
     ``max_share`` of all distinct records, else null ('rare' wins). An empty table gives no rows.
 
-    Rows are first combined by record and term; each task then counts in a burst trie of its own. Its containers are
-    routed by prefixes that adapt to the data: those under which a good part of all entries lies, at most ``routes`` a
-    level, so the table of them is small at every size. Subtrees with one routing prefix are merged in one task.
+    Rows are first combined by record and term; each task then counts in burst tries of at most about ``trie_terms``
+    terms. Entries of their containers are routed by prefixes that adapt to the data, of any length: the longest heavy
+    one of a term (``heavy_prefixes``) and the character after it. Subtrees with one route are merged in one task, so a
+    task merges about one part in ``routes`` of all entries.
     """
     rows = df.select(record.alias("_r"), terms.alias("_t")).where("_r is not null")
     n_records = rows.select("_r").distinct().count()
     element = rows.select("_r", F.explode("_t").alias("_e")).select("_r", normal_term(F.col("_e")).alias("term")).where("term is not null")
     pairs = element.groupBy("_r", "term").agg(F.count(F.lit(1)).alias("occ")).select("term", "occ")
-    leaves = cut_lineage(pairs.mapInArrow(_tries, "path string, entries bigint, data binary"))
+    leaves = cut_lineage(pairs.mapInArrow(lambda batches: _tries(batches, trie_terms), "path string, entries bigint, data binary"))
 
     total = leaves.agg(F.sum("entries")).first()[0] or 0
-    prefix = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("path"), F.lit(64))), lambda k: F.substring("path", F.lit(1), k)))
-    heavy = leaves.where(F.length("path") > 0).select(prefix.alias("prefix"), "entries").groupBy("prefix").agg(F.sum("entries").alias("n")).where(F.col("n") * routes >= total)
-    cuts = frozenset(r["prefix"] for r in heavy.select("prefix").collect())  # at most 64 * routes: each level's prefixes are disjoint
-    deepest = max(map(len, cuts), default=0)
-
-    def route(path: str) -> str:
-        return next((path[:k] for k in range(min(deepest, len(path)), 0, -1) if path[:k] in cuts), "")
+    heavy = heavy_prefixes(leaves.where(F.length("path") > 0).select("path", "entries"), total, routes or min(ROUTES_MOST, max(ROUTES_LEAST, total // ROUTE_ENTRIES)))
+    deepest = max(map(len, heavy))
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +150,8 @@ def term_counts(df: DataFrame, record: Column, terms: Column, *, min_records: in
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parts: dict[str, dict[str, tuple[int, int]]] = {}
                 for suffix, counters in unpack(data).items():
-                    parts.setdefault(route(path + suffix), {})[suffix] = counters
+                    term = path + suffix
+                    parts.setdefault(term[: len(longest_prefix(term, heavy, deepest)) + 1], {})[suffix] = counters
                 out += [(to, path, pack(container)) for to, container in parts.items()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.binary()), strict=True)], ["route", "path", "data"])

@@ -1,5 +1,6 @@
 """The operators tagged llm against brute force, round trips and edge cases."""
 
+import hashlib
 import itertools
 import random
 import re
@@ -24,7 +25,7 @@ from tesselon.llm.leakage import Shard, leaks, removal_spans
 from tesselon.llm.packing import best_two_fit, pack, pack_texts, text_sizes
 from tesselon.llm.similar_vectors import bucket_dims, fitted, similar_vectors, true_pairs
 from tesselon.llm.splitting import PENALTY, PIECE, UNEVEN, best_cuts, split_texts
-from tesselon.llm.term_counts import term_counts
+from tesselon.llm.term_counts import heavy_prefixes, term_counts
 from tesselon.llm.tokens import code_points, count_tokens, slices
 from tesselon.llm.words import Words, word_offsets
 
@@ -52,13 +53,14 @@ def test_trie_counts_and_packs():
     assert got == dict(want)
 
 
-def test_term_counts_against_brute_force(spark):
+@pytest.mark.parametrize(("routes", "most"), [(4, 1000), (None, 10**6), (10**6, 20)])
+def test_term_counts_against_brute_force(spark, routes, most):
     rng = random.Random(2)
     rows = []
     for i in range(300):
         key = None if i % 50 == 0 else f"K{i % 120}"
         rows.append((key, None if i % 17 == 0 else [rng.choice(["Big", " big ", "BIG  one", "big one", None, "", "\t", "rare" + str(i % 90), "über"]) for _ in range(rng.randrange(0, 6))], "x"))
-    got = {r["term"]: (r["occurrences"], r["records"], r["mark"]) for r in term_counts(spark.createDataFrame(rows, "term string, path array<string>, records string"), F.col("term"), F.col("path"), routes=4).collect()}
+    got = {r["term"]: (r["occurrences"], r["records"], r["mark"]) for r in term_counts(spark.createDataFrame(rows, "term string, path array<string>, records string"), F.col("term"), F.col("path"), routes=routes, trie_terms=most).collect()}
     occ, rec = Counter(), defaultdict(set)
     for key, terms, _ in rows:
         for t in terms or [] if key is not None else []:
@@ -71,6 +73,41 @@ def test_term_counts_against_brute_force(spark):
     assert got == {t: (occ[t], len(rec[t]), mark(len(rec[t]))) for t in occ}
 
 
+def test_long_common_beginnings_are_spread(spark):
+    """100,000 terms that share 200 characters: each is counted, and no route has more than a small part of them."""
+    shared = "https://example.org/" + "a/b" * 60
+    rows = spark.range(100_000).select((F.col("id") % 1000).alias("r"), F.array(F.concat(F.lit(shared), F.sha1(F.col("id").cast("string")))).alias("t"))
+    got = term_counts(rows, F.col("r"), F.col("t"), trie_terms=9_000).agg(F.count("term"), F.sum("occurrences"), F.sum("records"), F.count_if(F.col("mark") == "rare")).first()
+    assert tuple(got) == (100_000,) * 4
+    trie = BurstTrie()
+    for k in range(20_000):
+        trie.add(shared + hashlib.sha1(b"%d" % k).hexdigest(), 1, 1)
+    assert trie.terms == 20_000
+    paths = spark.createDataFrame([(path, len(own)) for path, own in trie.leaves()], "path string, entries bigint")
+    heavy = heavy_prefixes(paths, 20_000, 100)
+    # of 16 first digits all are heavy, of 256 pairs none; what lies before the first digit has nothing to tell apart
+    assert heavy == {""} | {shared} | {shared + d for d in "0123456789abcdef"}
+    assert heavy_prefixes(paths, 20_000, 2) == {"", shared}
+
+
+def test_heavy_prefixes_against_brute_force(spark):
+    rng = random.Random(11)
+    common = ["", "x" * 30, "x" * 30 + "yz" * 9, "abc"]
+    paths = [(rng.choice(common) + "".join(rng.choice("ab") for _ in range(rng.randrange(0, 14))), rng.randrange(1, 9)) for _ in range(800)]
+    paths = [p for p in paths if p[0]]
+    total = sum(n for _, n in paths)
+    of = Counter()
+    for path, n in paths:
+        for k in range(1, len(path) + 1):
+            of[path[:k]] += n
+    heavy = {p for p, n in of.items() if n * 40 >= total}
+    got = heavy_prefixes(spark.createDataFrame(paths, "path string, entries bigint").repartition(4), total, 40)
+    assert got <= heavy | {""}
+    # those left out have a heavier or equal one after them through which all their paths go
+    for p in heavy - got:
+        assert any(q.startswith(p) and of[q] == of[p] for q in got)
+
+
 def test_term_counts_of_nothing(spark):
     empty = spark.createDataFrame([], "k string, t array<string>")
     assert term_counts(empty, F.col("k"), F.col("t")).count() == 0
