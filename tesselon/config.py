@@ -9,9 +9,11 @@ from pathlib import Path
 DEFAULTS: dict = {
     "base_url": "", "raw_dir": "data/raw", "processed_dir": "data/processed", "active_dataset": "default", "datasets": {"default": {"category": "Default"}},
     "preprocessing": {"k_core": 5, "min_rating_relevant": 4.0, "test_size": 0.2, "random_seed": 42, "split_protocol": "per_user_chronological_80_20", "dedup_policy": "latest"},
-    "evaluation": {"k_values": [10]}, "hybrid": {"alpha": 0.5, "grid": [0.0, 0.25, 0.5, 0.75, 1.0], "validation_fraction": 0.1},
+    "evaluation": {"k_values": [10]}, "hybrid": {"alpha": 0.5, "grid": [0.0, 0.25, 0.5, 0.75, 1.0], "validation_fraction": 0.1, "max_users": None, "max_val_rows": None, "calibration_max_rows": None},
     "ranking": {"negatives": 100, "seed": 42}, "categories": {"roots": [], "vocab_max": 256, "min_doc_freq": 5},
-    "graph": {"dim": 64, "layers": 2, "epochs": 10, "lr": 0.005}, "graph_analysis": {"min_shared_users": 3, "spectral_k": [10, 25, 50], "max_nodes": 500},
+    "graph": {"dim": 64, "layers": 2, "epochs": 10, "lr": 0.005, "weight_decay": 0.0, "negatives": 1, "seed": 42, "validation_fraction": 0.1},
+    "graph_analysis": {"min_shared_users": 3, "weight": "weight_jaccard", "top_n_items": None, "spectral_k": [10, 25, 50], "max_nodes": 500},
+    "models": {"embedders": ["hash-32"], "sentiment": ["lexicon"]},
     "storage": {"vector_root": "data/storage/vectors", "graph_root": "data/storage/graph", "collection_prefix": "items", "password_env": "GRAPH_PASSWORD"},
 }
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from tesselon.graph.build import both_ways
 from tesselon.operators.eda import summarize_values
-from tesselon.session import store_table
+from tesselon.session import drop_table, store_table
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -22,6 +24,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
         least = labels.join(near, F.col("node") == F.col("_n"), "left").select("node", "component", F.least("component", "_c").alias("_l"))
         jump = labels.select(F.col("node").alias("_j"), F.col("component").alias("_jc"))
         spread = store_table(least.join(jump, F.col("_l") == F.col("_j")).select("node", F.least("_l", "_jc").alias("new"), "component"))
+        drop_table(labels)
         changed = spread.where("new <> component").limit(1).count()
         labels = spread.select("node", F.col("new").alias("component"))
         if not changed:
@@ -111,5 +114,33 @@ def projection_facts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def degree_facts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The summary of node degrees, isolated nodes counting as 0."""
+    return summarize_values(_item_degrees(nodes, edges), "d", True)
+
+
+def _item_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     degree = both_ways(edges.select("a", "b"), "a", "b").groupBy(F.col("a").alias("item")).agg(F.count(F.lit(1)).alias("d"))
-    return summarize_values(nodes.select("item").join(degree, "item", "left").select(F.coalesce("d", F.lit(0)).alias("d")), "d", True)
+    return nodes.select("item").join(degree, "item", "left").select(F.coalesce("d", F.lit(0)).alias("d"))
+
+
+def _component_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return connected_components(nodes, edges).groupBy("component").agg(F.count(F.lit(1)).alias("d"))
+
+
+def _summaries(parts: dict[str, tuple[DataFrame, str, bool]]) -> DataFrame:
+    """``(value, count, min, max, mean, median, std)``: a row per named column."""
+    numbers = lambda df: df.select("value", "count", *[F.col(c).cast("double").alias(c) for c in ("min", "max", "mean", "median", "std")])
+    return reduce(DataFrame.unionByName, [numbers(summarize_values(df, c, whole).withColumn("value", F.lit(name))) for name, (df, c, whole) in parts.items()])
+
+
+def bipartite_summaries(edges: DataFrame) -> DataFrame:
+    """Summaries of a user-item graph's user degrees, item degrees and component sizes."""
+    degree = lambda c: edges.groupBy(c).agg(F.count(F.lit(1)).alias("d"))
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    sizes = _component_sizes(nodes, edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return _summaries({"user_degree": (degree("src"), "d", True), "item_degree": (degree("dst"), "d", True), "component_size": (sizes, "d", True)})
+
+
+def projection_summaries(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Summaries of an item graph's degrees, component sizes and both weights."""
+    sizes = _component_sizes(nodes.select("item"), edges)
+    return _summaries({"degree": (_item_degrees(nodes, edges), "d", True), "component_size": (sizes, "d", True), "weight_count": (edges, "weight_count", True), "weight_jaccard": (edges, "weight_jaccard", False)})

@@ -7,9 +7,11 @@ from collections import defaultdict, deque
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tesselon.graph.analysis import connected_components
-from tesselon.graph.build import both_ways, induced
-from tesselon.session import store_table
+from tesselon.graph import analysis
+from tesselon.graph.analysis import connected_components, modularity
+from tesselon.graph.build import bipartite_graph, both_ways, induced, project_items
+from tesselon.report import small_rows
+from tesselon.session import drop_table, store_table
 
 #: A graph up to this many edges is finished in one task; a larger one is first contracted by distributed rounds.
 ONE_TASK_EDGES = 2_000_000
@@ -56,28 +58,31 @@ def _louvain_local(edges: dict, total: float, resolution: float = 1.0) -> dict:
         graph = {n: dict(near) for n, near in merged.items()}
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, weight: str = "weight_jaccard") -> DataFrame:
+def louvain(nodes: DataFrame, edges: DataFrame, weight: str = "weight_jaccard", one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """``(node, community)``: communities of high modularity, a community being named by one of its nodes.
 
     Components are independent, as a merge across them never gains, so each is a group of its own, with the weight of
-    the whole graph. Components above ``ONE_TASK_EDGES`` edges are first contracted: in distributed rounds every node
-    joins its neighbour with the greatest gain, if that one's label is less, and the contracted graph is finished so.
+    the whole graph. Components above ``one_task`` edges are first contracted in distributed rounds, in which every node
+    joins its neighbour with the greatest gain, and the contracted graphs are finished so; then each node moves once more
+    to the neighbouring community that gains most. Where no node gains by joining a neighbour any more, a component is
+    finished, whatever its size.
     """
     w = edges.select("a", "b", F.col(weight).cast("double").alias("w")).where("w > 0")
     total = w.agg(F.sum("w")).first()[0]
     base = nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
     if not total:
         return base.withColumn("community", F.col("node"))
-    owner = base.withColumn("community", F.col("node"))
-    for _ in range(20):
+    whole, owner, contracted = w, base.withColumn("community", F.col("node")), False
+    while True:
         parts = connected_components(owner.select(F.col("community").alias("node")).distinct(), w)
         sized = w.join(parts, F.col("a") == F.col("node")).select("component", "a", "b", "w")
-        largest = sized.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        if largest <= ONE_TASK_EDGES:
+        large = sized.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > one_task).select("component")
+        if not large.limit(1).count():
             break
-        before = w.count()
+        before, contracted = w.count(), True
         owner, w = _contract(owner, w, float(total))
-        if w.count() > 0.9 * before:
+        if w.count() >= before:
+            sized = sized.join(large, "component", "left_anti")
             break
 
     def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -91,7 +96,43 @@ def louvain(nodes: DataFrame, edges: DataFrame, weight: str = "weight_jaccard")
     kind = base.schema["node"].dataType.simpleString()
     solved = sized.groupBy("component").applyInPandas(solve, f"c {kind}, community {kind}")
     out = owner.withColumnRenamed("community", "_o").join(solved, F.col("_o") == F.col("c"), "left")
-    return out.select("node", F.coalesce("community", "_o").alias("community"))
+    out = out.select("node", F.coalesce("community", "_o").alias("community"))
+    return refine(out, whole) if contracted else out
+
+
+def refine(owner: DataFrame, w: DataFrame, rounds: int = 8) -> DataFrame:
+    """``owner`` (node, community) after rounds in which nodes move to the neighbouring community that gains most.
+
+    Half of the nodes, by hash, may move in a round, as neighbours that move at once can undo each other's gain. A round
+    that doesn't raise the modularity is not taken, and the last one so.
+    """
+    best = store_table(owner)
+    quality = modularity(w, best, "w").first()[0]
+    near = store_table(both_ways(w, "a", "b").where("a <> b"))
+    strength = store_table(both_ways(w, "a", "b").groupBy(F.col("a").alias("n")).agg(F.sum("w").alias("k")))
+    total = w.agg(F.sum("w")).first()[0]
+    missed = 0
+    for r in range(rounds):
+        mass = best.join(strength, F.col("node") == F.col("n")).groupBy(F.col("community").alias("mc")).agg(F.sum("k").alias("mass"))
+        links = near.join(best.select(F.col("node").alias("b"), F.col("community").alias("c")), "b").groupBy(F.col("a").alias("node"), "c").agg(F.sum("w").alias("l"))
+        # the own community counts without the node, also if no link leads there
+        own = best.join(strength, F.col("node") == F.col("n")).select("node", "community", "k")
+        every = links.unionByName(best.select("node", F.col("community").alias("c"), F.lit(0.0).alias("l"))).groupBy("node", "c").agg(F.sum("l").alias("l"))
+        rated = every.join(own, "node").join(mass, F.col("c") == F.col("mc"))
+        gain = F.col("l") - F.col("k") * (F.col("mass") - F.when(F.col("c") == F.col("community"), F.col("k")).otherwise(0.0)) / F.lit(2.0 * total)
+        to = rated.groupBy("node").agg(F.max_by("c", F.struct(F.round(gain, 12), F.col("c") == F.col("community"), "c")).alias("to"))
+        moved = best.join(to, "node", "left").select("node", F.when(F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0, F.coalesce("to", "community")).otherwise(F.col("community")).alias("community"))
+        moved = store_table(moved)
+        now = modularity(w, moved, "w").first()[0]
+        if now > quality + 1e-9:
+            drop_table(best)
+            best, quality, missed = moved, now, 0
+        else:
+            drop_table(moved)
+            missed += 1
+            if missed == 2:
+                break
+    return best
 
 
 def _contract(owner: DataFrame, w: DataFrame, total: float) -> tuple[DataFrame, DataFrame]:
@@ -221,16 +262,45 @@ def serialized(communities: DataFrame) -> DataFrame:
 
 
 def analyze(train: DataFrame, labels: DataFrame, *, min_shared_users: int = 3, top_n_items: int | None = None, weight: str = "weight_jaccard", k_values: tuple[int, ...] = (10, 25, 50), max_nodes: int = 500) -> dict[str, DataFrame | None]:
-    """The whole graph analysis as tables by name; a method that refuses the graph (ValueError) has None."""
-    from tesselon.graph import analysis
-    from tesselon.graph.build import bipartite_graph, project_items
+    """The whole graph analysis as tables by name; a method that refuses the graph (ValueError) has None.
 
+    Beside the tables of communities (node, community) there are the facts and summaries of both graphs, and of each
+    method its community sizes, modularity and alignment with the labels, by names such as ``louvain_sizes``.
+    """
     nodes, edges = (store_table(x) for x in project_items(train, min_shared_users, top_n_items))
+    pairs = store_table(bipartite_graph(train))
     found = store_table(louvain(nodes, edges, weight))
-    out: dict[str, DataFrame | None] = {"bipartite": analysis.bipartite_facts(bipartite_graph(train)), "projection": analysis.projection_facts(nodes, edges), "clustering": analysis.clustering(nodes, edges), "louvain": found, "louvain_modularity": analysis.modularity(edges, found, weight), "louvain_alignment": analysis.alignment(found, labels), "leiden": leiden(nodes, edges)}
-    for name, run in {f"spectral_{k}": lambda k=k: spectral(nodes, edges, k, weight) for k in k_values}.items() | {"girvan_newman": lambda: girvan_newman(nodes, edges, max_nodes), "girvan_newman_largest": lambda: girvan_newman(*largest_community(nodes, edges, found, max_nodes), max_nodes)}.items():
+    out: dict[str, DataFrame | None] = {"bipartite": analysis.bipartite_facts(pairs), "bipartite_summaries": analysis.bipartite_summaries(pairs), "projection": analysis.projection_facts(nodes, edges), "projection_summaries": analysis.projection_summaries(nodes, edges), "clustering": analysis.clustering(nodes, edges)}
+    largest = largest_community(nodes, edges, found, max_nodes)
+    runs = {"louvain": (lambda: found, edges), "leiden": (lambda: leiden(nodes, edges), edges), **{f"spectral_{k}": (lambda k=k: spectral(nodes, edges, k, weight), edges) for k in k_values}}
+    runs |= {"girvan_newman": (lambda: girvan_newman(nodes, edges, max_nodes), edges), "girvan_newman_largest": (lambda: girvan_newman(*largest, max_nodes), largest[1])}
+    for name, (run, inside) in runs.items():
         try:
             out[name] = run()
         except ValueError:
             out[name] = None
+        if out[name] is not None:
+            out[name] = store_table(out[name])
+            covered = inside.join(out[name].select(F.col("node").alias("a")), "a", "left_semi").join(out[name].select(F.col("node").alias("b")), "b", "left_semi")
+            out |= {f"{name}_sizes": serialized(out[name]), f"{name}_modularity": analysis.modularity(covered, out[name], weight), f"{name}_alignment": analysis.alignment(out[name], labels)}
     return out
+
+
+def community_tables(found: dict[str, DataFrame | None]) -> dict[str, DataFrame | None]:
+    """The tables of communities among those of ``analyze``; all others are small."""
+    return {k: v for k, v in found.items() if k in ("louvain", "leiden", "girvan_newman", "girvan_newman_largest") or k.startswith("spectral_") and k.removeprefix("spectral_").isdigit()}
+
+
+def analysis_report(found: dict[str, DataFrame | None], settings: dict) -> dict:
+    """The facts of ``analyze`` as one tree that JSON can hold; members stay in the tables of communities."""
+    methods = community_tables(found)
+    one = lambda name: small_rows(found[name])[0]
+    by_value = lambda name: {r.pop("value"): r for r in small_rows(found[name])}
+
+    def method(name: str) -> dict | None:
+        if methods[name] is None:
+            return None
+        sizes = [r["size"] for r in small_rows(found[f"{name}_sizes"])]
+        return {"n_communities": len(sizes), "sizes": sizes, "modularity": one(f"{name}_modularity")["modularity"], "alignment": one(f"{name}_alignment")}
+
+    return {"settings": settings, "bipartite": one("bipartite") | by_value("bipartite_summaries"), "projection": one("projection") | one("clustering") | by_value("projection_summaries"), "communities": {name: method(name) for name in methods}}

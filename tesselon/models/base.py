@@ -24,13 +24,17 @@ class Recommender(ABC):
 
     def fit(self, train: DataFrame, metadata: DataFrame | None = None) -> Recommender:
         """From training rows (user_id, parent_asin, rating) and, for some models, an item table."""
+        self.remember(train)
+        self._fit(train, metadata)
+        self.is_fitted = True
+        return self
+
+    def remember(self, train: DataFrame) -> None:
+        """What every model keeps of the training rows."""
         self.train = train
         self.item_means = train.groupBy("parent_asin").agg(F.avg("rating").alias("_im"))
         self.user_means = train.groupBy("user_id").agg(F.avg("rating").alias("_um"))
         self.global_mean = train.agg(F.avg("rating").alias("_gm"))
-        self._fit(train, metadata)
-        self.is_fitted = True
-        return self
 
     def _fit(self, train: DataFrame, metadata: DataFrame | None) -> None:
         pass

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tesselon.functions import text as T
 from tesselon.functions.vectors import hash_embedding, l2_normalize, let
 from tesselon.operators.prep import keep_one
+from tesselon.sources import files
 
 NUMERIC = ("price", "average_rating", "rating_number")
 SENTIMENT = ("item_train_sentiment_mean", "item_rating_minus_sentiment_gap")
@@ -99,6 +100,15 @@ def vocab_list(vocab: DataFrame) -> list[str]:
     return [r["category"] for r in vocab.orderBy("col").collect()]
 
 
+def write_category_artifacts(folder: str, items: DataFrame, labels: Column, dataset: str, max_vocab: int = 256, min_doc_freq: int = 5) -> None:
+    """Vocabulary, flags of all items and a description under a folder: category_vocab.json, item_features.parquet, item_features_meta.json."""
+    spark = items.sparkSession
+    vocab = vocab_list(category_vocab(items, labels, max_vocab, min_doc_freq))
+    files.write_json(spark, files.joined(folder, "category_vocab.json"), vocab)
+    items.select("parent_asin", multi_hot(labels, vocab).alias("features")).write.mode("overwrite").parquet(files.joined(folder, "item_features.parquet"))
+    files.write_json(spark, files.joined(folder, "item_features_meta.json"), {"dataset": dataset, "vocab_size": len(vocab), "row_count": items.count(), "version": 1})
+
+
 def multi_hot(labels: Column, vocab: Sequence[str]) -> Column:
     known = F.array(*[F.lit(c) for c in vocab]) if vocab else F.array().cast("array<string>")
     return let(labels, lambda own: F.transform(known, lambda c: F.array_contains(own, c).cast("double")))

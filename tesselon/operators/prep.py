@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tesselon.functions import text as T
 from tesselon.operators.ranking import add_position, sample_exactly, stable_order
-from tesselon.session import store_table
+from tesselon.session import drop_table, store_table
 
 #: Milliseconds in a slot of positions: ranking within a user orders a month at a time.
 SLOT_MS = 30 * 86_400_000
@@ -57,6 +57,8 @@ def k_core(df: DataFrame, k: int, max_rounds: int = 200) -> DataFrame:
         for c, keys in rare.items():
             nxt = nxt.join(keys, c, "left_anti")
         nxt = store_table(nxt.select(*df.columns))
+        if current is not df:
+            drop_table(current)
         kept = nxt.count()
         if kept == n or kept == 0:
             return nxt
@@ -98,7 +100,7 @@ def split_leave_last_out(df: DataFrame) -> DataFrame:
 def split_validation(train: DataFrame, fraction: float) -> DataFrame:
     """``train`` with ``part`` 'train' or 'validation': the last ``fraction`` (rounded down, at least one of two rows) of each user."""
     if not 0.0 < fraction < 1.0:
-        raise ValueError("validation_fraction must be in (0, 1)")
+        raise ValueError("fraction must lie between 0 and 1")
     late = F.col("timestamp").isNull()
     placed = _position(train, [late, F.col("timestamp"), F.col("parent_asin")], F.when(late, F.lit(2**62)).otherwise(F.floor(F.col("timestamp") / SLOT_MS)))
     n = F.floor(F.col("_cnt") * F.lit(float(fraction)))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tesselon.operators import eda, prep
 from tesselon.session import store_table
-from tesselon.sources.records import table_dir, write_json, write_tables
+from tesselon.sources.files import joined, write_json
+from tesselon.sources.records import table_dir, write_tables
 
 
 def preprocess(records: DataFrame, metadata: DataFrame, root: str | Path, dataset: str, *, k: int = 5, protocol: str = "per_user_chronological_80_20", policy: str = "latest", test_size: float = 0.2, seed: int = 42, relevant_from: float = 4.0) -> dict:
@@ -30,8 +31,9 @@ def preprocess(records: DataFrame, metadata: DataFrame, root: str | Path, datase
     for prefix, df in (("dedup", deduped), ("kcore", core)):
         summary |= eda.table_facts(df, prefix, relevant_from).first().asDict()
     summary |= {f"{p}_rows": df.count() for p, df in parts.items()}
+    hist = lambda df: {str(r["rating"]): r["n"] for r in eda.rating_histogram(df).orderBy("rating").collect()}
+    summary["rating_histogram_dedup"], summary["rating_histogram"] = hist(deduped), hist(core)
     summary["test_items_not_in_train"] = eda.only_in(parts["test"], parts["train"], "parent_asin").first()["n"]
-    summary["rating_histogram"] = {str(r["rating"]): r["n"] for r in eda.rating_histogram(core).orderBy("rating").collect()}
     summary |= eda.missingness(items).first().asDict()
-    write_json(folder / "eda_summary.json", summary)
+    write_json(metadata.sparkSession, joined(folder, "eda_summary.json"), summary)
     return summary

@@ -8,6 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, functions as F
 
+from tesselon.sources.files import write_json
+
 #: Metric columns as the dashboard names them.
 METRIC_NAMES = {"precision_at_k": "precision_at_10", "recall_at_k": "recall_at_10", "f1_at_k": "f1_at_10"}
 
@@ -41,13 +43,17 @@ def graph_sample(nodes: DataFrame, edges: DataFrame, max_nodes: int = 300, max_e
     return kept, inside.orderBy(F.desc("weight"), "source", "target").limit(max_edges)
 
 
-def to_json(df: DataFrame, path: str | Path, max_rows: int = 100_000) -> None:
-    """A small table as a JSON array; more rows than ``max_rows`` raise instead of filling the driver."""
+def small_rows(df: DataFrame, max_rows: int = 100_000) -> list[dict]:
+    """A small table's rows; more than ``max_rows`` raise instead of filling the driver."""
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         raise ValueError(f"more than {max_rows} rows")
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps([r.asDict(recursive=True) for r in rows], indent=2, default=str))
+    return [r.asDict(recursive=True) for r in rows]
+
+
+def to_json(df: DataFrame, path: str | Path, max_rows: int = 100_000) -> None:
+    """A small table as a JSON array."""
+    write_json(df.sparkSession, str(path), small_rows(df, max_rows))
 
 
 def load_dashboard(local: str | Path, demo: str | Path, names: Sequence[str]) -> dict:

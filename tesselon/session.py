@@ -81,9 +81,12 @@ def store_parts(parts: Iterable[DataFrame]) -> DataFrame:
 
 
 def drop_table(table: DataFrame) -> None:
-    """Removes a stored table that nothing reads any more, such as a round of an iteration once the next one is written."""
+    """Removes a stored table that nothing reads any more, such as a round of an iteration once the next one is written.
+
+    Only tables that ``store_table`` and ``store_parts`` wrote are removed; others stay.
+    """
     spark = table.sparkSession
-    for file in {name.rpartition("/")[0] for name in table.inputFiles()}:
+    for file in {name.rpartition("/")[0] for name in table.inputFiles() if "/tesselon-tables/" in name}:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import shutil
 import urllib.request
@@ -11,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tesselon.sources import files
+
 GZIP_MAGIC = b"\x1f\x8b"
 
 
@@ -62,33 +63,32 @@ def variant_interactions(records: DataFrame) -> DataFrame:
     return records.select(*[F.try_variant_get("v", f"$.{c}", t).alias(c) for c, t in kinds.items()])
 
 
-def table_dir(root: str | Path, dataset: str, protocol: str | None = None, default: str = "per_user_chronological_80_20") -> Path:
+#: The protocol whose tables lie in the folder of the dataset's plain name.
+DEFAULT_PROTOCOL = "per_user_chronological_80_20"
+
+
+def table_dir(root: str | Path, dataset: str, protocol: str | None = None, default: str = DEFAULT_PROTOCOL) -> str:
     """``root/dataset``, with ``__protocol`` once for another protocol than the default one."""
     suffix = f"__{protocol}" if protocol and protocol != default and not dataset.endswith(f"__{protocol}") else ""
-    return Path(root) / (dataset + suffix)
+    return files.joined(root, dataset + suffix)
 
 
 def write_tables(folder: str | Path, **tables: DataFrame) -> None:
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(str(Path(folder) / f"{name}.parquet"))
+        df.write.mode("overwrite").parquet(files.joined(folder, f"{name}.parquet"))
 
 
 def read_tables(spark: SparkSession, folder: str | Path, *names: str) -> tuple[DataFrame, ...]:
-    return tuple(spark.read.parquet(str(Path(folder) / f"{n}.parquet")) for n in names)
-
-
-def write_json(path: str | Path, value: object) -> None:
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    part = path.with_name(path.name + ".part")
-    part.write_text(json.dumps(value, indent=2, default=str))
-    part.replace(path)
+    return tuple(spark.read.parquet(files.joined(folder, f"{n}.parquet")) for n in names)
 
 
-def split_protocol(folder: str | Path, configured: str) -> str:
-    """The protocol that the summary beside the tables names, else the configured one."""
-    path = Path(folder) / "eda_summary.json"
-    return (json.loads(path.read_text()).get("split_protocol") if path.exists() else None) or configured
+def split_protocol(spark: SparkSession, root: str | Path, dataset: str, configured: str) -> str:
+    """The protocol that the summary of the configured protocol's tables, else of the plain folder's, names; else the configured one."""
+    for folder in (table_dir(root, dataset, configured), files.joined(root, dataset)):
+        found = files.read_json(spark, files.joined(folder, "eda_summary.json"), {}).get("split_protocol")
+        if found:
+            return found
+    return configured
 
 
 def key_hash(df: DataFrame, *keys: str) -> str:
@@ -103,11 +103,11 @@ def store_embeddings(folder: str, df: DataFrame, id_col: str, text: Column, embe
     """``(id_col, vector)`` from the folder if it was made by the same model from the same ids and texts, else computed and kept there."""
     rows = df.select(id_col, text.alias("text"))
     stamp = {"model_name": model, "content_hash": key_hash(rows, id_col, "text")}
-    side = Path(folder) / "embedding_meta.json"
-    if not (side.exists() and json.loads(side.read_text()) == stamp):
-        rows.select(id_col, embed(F.col("text")).alias("vector")).write.mode("overwrite").parquet(str(Path(folder) / "vectors.parquet"))
-        write_json(side, stamp)
-    return df.sparkSession.read.parquet(str(Path(folder) / "vectors.parquet"))
+    spark, side, vectors = df.sparkSession, files.joined(folder, "embedding_meta.json"), files.joined(folder, "vectors.parquet")
+    if files.read_json(spark, side) != stamp:
+        rows.select(id_col, embed(F.col("text")).alias("vector")).write.mode("overwrite").parquet(vectors)
+        files.write_json(spark, side, stamp)
+    return spark.read.parquet(vectors)
 
 
 def download(url: str, path: str | Path, opener: Callable = urllib.request.urlopen, chunk: int = 1 << 20) -> Path:

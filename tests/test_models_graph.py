@@ -138,9 +138,12 @@ def test_learned_models_keep_their_promises(spark, blocks, items, tmp_path):
     pool = spark.createDataFrame([(f"{g}u{u}", f"{h}i{i}") for g in "ab" for u in range(12) for h in "ab" for i in range(8)], "user_id string, parent_asin string")
     top = gcn.recommend(pool, 1).collect()
     assert sum(r["user_id"][0] == r["parent_asin"][0] for r in top) > 0.7 * len(top)
-    gcn.save(str(tmp_path / "model"))
-    again = EmbeddingRecommender.load(spark, str(tmp_path / "model"), blocks)
-    assert sorted(map(tuple, again.predict(test).collect())) == sorted(map(tuple, gcn.predict(test).collect()))
+    for k, model in enumerate(models[1:]):
+        model.save(str(tmp_path / f"model{k}"))
+        again = EmbeddingRecommender.load(spark, str(tmp_path / f"model{k}"), blocks)
+        assert type(again) is type(model)
+        assert sorted(map(tuple, again.predict(test).collect())) == sorted(map(tuple, model.predict(test).collect()))
+        assert sorted(map(tuple, again.recommend(pool, 2).collect())) == sorted(map(tuple, model.recommend(pool, 2).collect()))
     with pytest.raises(ValueError):
         GraphSAGE(features, feature_set="nothing")
 
@@ -241,11 +244,25 @@ def test_communities(spark, cliques):
     assert communities.louvain(nodes, edges.limit(0)).count() == 7
 
 
-def test_contraction_keeps_weight(spark, cliques, monkeypatch):
-    monkeypatch.setattr(communities, "ONE_TASK_EDGES", 2)
+def test_contracted_graphs_are_as_modular(spark):
+    """A graph of 10,000 edges in 40 loose groups, contracted until a tenth of its edges are left, beside one task's way."""
+    rng = random.Random(5)
+    pairs = set()
+    while len(pairs) < 10_000:
+        a = rng.randrange(2000)
+        b = rng.randrange(2000) if rng.random() < 0.25 else a // 50 * 50 + rng.randrange(50)
+        if a != b:
+            pairs.add((min(a, b), max(a, b)))
+    edges = spark.createDataFrame([(f"n{a:04d}", f"n{b:04d}", 0.1 + rng.random()) for a, b in sorted(pairs)], "a string, b string, weight_jaccard double")
+    nodes = edges.selectExpr("explode(array(a, b)) item").distinct()
+    quality = [analysis.modularity(edges, communities.louvain(nodes, edges, one_task=limit)).first()["modularity"] for limit in (10**6, 1000)]
+    assert quality[0] > 0.6 and quality[1] > quality[0] - 0.02
+
+
+def test_contraction_keeps_weight(spark, cliques):
     nodes, edges = cliques
     groups = {}
-    for r in communities.louvain(nodes, edges).collect():
+    for r in communities.louvain(nodes, edges, one_task=2).collect():
         groups.setdefault(r["community"], set()).add(r["node"])
     assert sum(map(len, groups.values())) == 7 and len(groups) < 7
 
@@ -253,6 +270,11 @@ def test_contraction_keeps_weight(spark, cliques, monkeypatch):
 def test_analysis_orchestrates(spark, blocks, items):
     labels = items.select(F.col("parent_asin").alias("node"), F.element_at("categories", -1).alias("label"))
     out = communities.analyze(blocks, labels, min_shared_users=2, k_values=(2, 1), max_nodes=10)
+    report = communities.analysis_report(out, {"min_shared_users": 2})
+    assert json.loads(json.dumps(report)) == report and set(report["communities"]) == {"louvain", "leiden", "spectral_2", "spectral_1", "girvan_newman", "girvan_newman_largest"}
+    found = report["communities"]["louvain"]
+    assert found["n_communities"] == len(found["sizes"]) and sum(found["sizes"]) == 16 and found["modularity"] > 0.3 and found["alignment"]["purity"] == 1.0
+    assert report["bipartite"]["user_degree"]["count"] == report["bipartite"]["users"] and report["projection"]["weight_count"]["count"] == report["projection"]["edges"]
     assert out["leiden"] is None and out["spectral_1"] is None and out["girvan_newman"] is None and out["louvain_alignment"].first()["purity"] == 1.0
 
 
@@ -268,6 +290,8 @@ def test_vector_store(spark, tmp_path):
     store.insert("c", rows, reset=True)
     assert store.read("c").count() == 53
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    few, one = (sorted(map(tuple, search_vectors(rows, rows.where("id < 11"), 4, block=n).collect())) for n in (3, 100))
+    assert few == one and len(few) == 44
     for r in store.search("c", rows.where("id < 3"), 4).collect():
         want = sorted(range(50), key=lambda k: (-round(float(unit[k] @ unit[r["query_id"]]), 12), k))[r["rank"] - 1]
         assert r["id"] == want
@@ -313,7 +337,7 @@ def test_records(spark, tmp_path):
         R.read_jsonl(spark, tmp_path / "bad.jsonl").collect()
     with pytest.raises(FileNotFoundError):
         R.resolve_existing(tmp_path / "nothing.jsonl.gz")
-    assert R.table_dir("x", "d", "leave_last_out").name == "d__leave_last_out" and R.table_dir("x", "d__leave_last_out", "leave_last_out").name == "d__leave_last_out"
+    assert R.table_dir("x", "d", "leave_last_out") == R.table_dir("x", "d__leave_last_out", "leave_last_out") == "x/d__leave_last_out" and R.table_dir("s3a://b/", "d") == "s3a://b/d"
     one, two = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), spark.createDataFrame([("b", 2), ("a", 1)], "k string, v int")
     assert R.key_hash(one, "k", "v") == R.key_hash(two, "k", "v") != R.key_hash(one, "k")
     calls = []
@@ -342,7 +366,48 @@ def test_preprocess(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "d" / "metadata.parquet")).count() == 5
     preprocess(rows, meta, tmp_path, "d", k=2, protocol="leave_last_out")
     assert spark.read.parquet(str(tmp_path / "d__leave_last_out" / "validation.parquet")).count() == 3
-    assert R.split_protocol(tmp_path / "d__leave_last_out", "x") == "leave_last_out" and R.split_protocol(tmp_path, "x") == "x"
+    default = "per_user_chronological_80_20"
+    assert R.split_protocol(spark, tmp_path, "d", "leave_last_out") == "leave_last_out" and R.split_protocol(spark, tmp_path, "d", default) == default
+    assert R.split_protocol(spark, tmp_path, "d", "other") == default and R.split_protocol(spark, tmp_path, "none", "x") == "x"
+
+
+def test_plugins_fall_back():
+    from tesselon.models.plugins import build_embedder, build_scorer
+
+    assert build_embedder(["no.such:thing", "json:nothing", "hash-32", "never"])[0] == "hash-32" and build_scorer(["lexicon"])[0] == "lexicon"
+    with pytest.raises(RuntimeError):
+        build_embedder(["no.such:thing"])
+
+
+def test_category_artifacts(spark, tmp_path):
+    from tesselon.operators import features
+
+    items = spark.createDataFrame([("a", ["X", "Y"]), ("b", ["Y"]), ("c", None)], "parent_asin string, c array<string>")
+    features.write_category_artifacts(str(tmp_path), items, F.coalesce("c", F.array().cast("array<string>")), "d", 10, 1)
+    assert json.loads((tmp_path / "category_vocab.json").read_text()) == ["Y", "X"]
+    assert {r["parent_asin"]: list(r["features"]) for r in spark.read.parquet(str(tmp_path / "item_features.parquet")).collect()} == {"a": [1.0, 1.0], "b": [1.0, 0.0], "c": [0.0, 0.0]}
+    assert json.loads((tmp_path / "item_features_meta.json").read_text())["row_count"] == 3
+
+
+def test_negatives_are_never_positive(spark):
+    """Users with all but one, all, and few of 40 items positive."""
+    from tesselon.models.lightgcn import free_items, negative_items
+
+    rows = [(0, 3 + i) for i in range(40) if i != 37] + [(1, 3 + i) for i in range(40)] + [(2, 3), (2, 4), (2, 6)]
+    positives = spark.createDataFrame(rows, "src bigint, dst bigint")
+    assert {tuple(r) for r in free_items(positives, 3, 40).collect()} == {(0, 40), (2, 5)}
+    got = negative_items(positives, 3, 40, 1, 2).collect()
+    assert len(got) == 2 * len(rows) and all(3 <= r["neg"] < 43 for r in got)
+    assert all((r["src"], r["neg"]) not in set(rows) for r in got if r["src"] != 1)
+
+
+def test_sums_are_whole_however_little_is_gathered(spark, monkeypatch):
+    from tesselon.models import propagation
+
+    monkeypatch.setattr(propagation, "GATHER", 10)
+    df = spark.range(3000).select((F.col("id") % 7).alias("id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"))
+    want = {k: [float(sum(range(k, 3000, 7))), float(len(range(k, 3000, 7)))] for k in range(7)}
+    assert {r["id"]: list(r["v"]) for r in propagation.sum_vectors(df).collect()} == want
 
 
 def test_config(tmp_path, monkeypatch):

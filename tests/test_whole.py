@@ -81,7 +81,7 @@ def test_evaluate_makes_every_model_of_a_set(spark, tmp_path, monkeypatch):
     assert run("evaluate", "--models", "graph_only") == 0 and list(made) == ["lightgcn", "graphsage", "graphsage_bpr"]
     made.clear()
     assert run("evaluate", "--models", "ablation") == 0
-    for name, sentiment, offset in (("content_enriched", True, True), ("content_enriched_no_sentiment", False, True), ("content_enriched_no_offset", True, False)):
+    for name, sentiment, offset in (("content_enriched", True, True), ("content_enriched_no_sentiment", False, False), ("content_enriched_no_offset", True, False)):
         model = made[name]
         assert model.options["aggregates"].count() == 5 and model.options["use_item_sentiment"] is sentiment
         assert (model.offsets is not None and model.offsets.count() == 6) is offset
