@@ -148,6 +148,18 @@ def test_learned_models_keep_their_promises(spark, blocks, items, tmp_path):
         GraphSAGE(features, feature_set="nothing")
 
 
+def test_graphsage_learns_ratings(spark):
+    """A rating depends on the item's colour and on the user's mood, which shows in the mean of their ratings; held-out rows."""
+    rng = random.Random(6)
+    rows = [(f"u{u:03d}", f"i{i:02d}", min(5.0, max(1.0, (4.0 if i % 2 else 2.0) + (1.0 if u % 2 else -1.0))), u) for u in range(120) for i in rng.sample(range(30), 14)]
+    rng.shuffle(rows)
+    features = spark.createDataFrame([(f"i{i:02d}", [float(i % 2), 1.0, 0.0]) for i in range(30)], "parent_asin string, features array<double>")
+    model = GraphSAGE(features, "mse", hidden=16, epochs=120, lr=0.01, sample_edges=600, fan_out=6).fit(frame(spark, rows[:1200]))
+    got = model.predict(frame(spark, rows[1200:])).collect()
+    actual = np.array([r["rating"] for r in got])
+    assert np.sqrt(np.mean((np.array([r["est"] for r in got]) - actual) ** 2)) < 0.6 * actual.std()
+
+
 def test_evaluation(spark, blocks, tmp_path):
     rows = sorted(map(tuple, blocks.collect()))
     train, test = frame(spark, rows[::2]), frame(spark, rows[1::2])
