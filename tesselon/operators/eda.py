@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -60,3 +62,17 @@ def funnel(facts: DataFrame, columns: list[str]) -> DataFrame:
     """``(stage, n)``: the named counts of a one-row table as rows, in order; columns it lacks are left out."""
     present = [c for c in columns if c in facts.columns]
     return facts.select(F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(c).alias("stage"), F.col(c).cast("bigint").alias("n")) for i, c in enumerate(present)])).alias("s")).select("s.pos", "s.stage", "s.n")
+
+
+def histogram_text(df: DataFrame, name: str) -> DataFrame:
+    """One row: the rating histogram as text such as '4.0:12,5.0:3'."""
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("rating", "n"))), lambda c: F.concat_ws(":", c["rating"].cast("string"), c["n"].cast("string")))
+    return rating_histogram(df).agg(F.array_join(cells, ",").alias(name))
+
+
+def summarize(raw: DataFrame, valid: DataFrame, dedup: DataFrame, core: DataFrame, train: DataFrame, test: DataFrame, relevant_from: float = 4.0) -> DataFrame:
+    """One row of the 17 facts of a preparation, from landed rows to the split; the shares of an empty table are null."""
+    rows = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    before, after = table_facts(dedup, "dedup", relevant_from), table_facts(core, "kcore", relevant_from)
+    one = reduce(lambda a, b: a.join(b, F.lit(True)), [rows(raw, "raw_rows"), rows(valid, "valid_rows"), before, after, rows(train, "train_rows"), rows(test, "test_rows"), histogram_text(dedup, "dedup_ratings"), histogram_text(core, "kcore_ratings")])  # single rows
+    return one.drop("dedup_pct_relevant", "dedup_min_user_degree", "dedup_min_item_degree")

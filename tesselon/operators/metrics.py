@@ -78,10 +78,15 @@ def sample_negatives(users: DataFrame, catalog: DataFrame, exclude: DataFrame, n
     return chosen.join(places, "pos").select("user_id", "parent_asin")
 
 
+def seen_or_relevant(train: DataFrame, relevant: DataFrame) -> DataFrame:
+    """``(user_id, parent_asin)``: what can't be a negative item of a user."""
+    return train.select("user_id", "parent_asin").unionByName(relevant).distinct()
+
+
 def candidates(train: DataFrame, test: DataFrame, n: int = 100, threshold: float = 4.0, seed: int = 42) -> DataFrame:
     """``(user_id, parent_asin, is_rel)``: each ranking user's relevant test items and ``n`` sampled negatives."""
     relevant = relevant_items(test, threshold)
-    exclude = train.select("user_id", "parent_asin").unionByName(relevant).distinct()
+    exclude = seen_or_relevant(train, relevant)
     users = relevant.select("user_id").distinct()
     negatives = sample_negatives(users, train, exclude, n, seed)
     return relevant.withColumn("is_rel", F.lit(1)).unionByName(negatives.withColumn("is_rel", F.lit(0)))

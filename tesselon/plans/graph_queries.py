@@ -98,6 +98,25 @@ def projection_degrees(spark, d):
     return analysis.degree_facts(*_graph(spark, d)).withColumns(six("mean", "std"))
 
 
+def _summary_sql(**parts: tuple[str, str, bool]) -> str:
+    """Rows of ``analysis.bipartite_summaries`` and ``projection_summaries``: (table, column, whole numbers) by name."""
+    middle = lambda c, whole: f"floor(quantile_cont({c}, 0.5))" if whole else f"quantile_cont({c}, 0.5)"
+    return " union all ".join(f"select '{n}' as value, count({c}) as count, round(min({c}), 6)::double as min, round(max({c}), 6)::double as max, round(avg({c}), 6) as mean, round({middle(c, w)}, 6)::double as median, round(stddev_pop({c}), 6) as std from {t}" for n, (t, c, w) in parts.items())
+
+
+_NUMBERS = ("min", "max", "mean", "median", "std")
+
+
+@query(f"with recursive {P}, {_DEG}, {_proj_sql(LEAST)}, nn as (select item as n from dg), {_components_sql('nn', 'pe')}, cs as (select component, count(*) as n from co group by component), ends as (select a as item from pe union all select b from pe), x as (select dg.item, count(ends.item) as d from dg left join ends using (item) group by dg.item) {_summary_sql(degree=('x', 'd', True), component_size=('cs', 'n', True), weight_count=('pe', 'weight_count', True), weight_jaccard=('pe', 'weight_jaccard', False))}")
+def projection_summaries(spark, d):
+    return analysis.projection_summaries(*_graph(spark, d)).withColumns(six(*_NUMBERS))
+
+
+@query(SQL["bipartite_eda"].split(" select (select count(distinct a)")[0].split("\n    select (select")[0] + f", ud as (select a, count(*) as d from be group by a), im as (select b, count(*) as d from be group by b) {_summary_sql(user_degree=('ud', 'd', True), item_degree=('im', 'd', True), component_size=('cs', 'n', True))}")
+def bipartite_summaries(spark, d):
+    return analysis.bipartite_summaries(build.bipartite_graph(views.parts(spark, d)[0])).withColumns(six(*_NUMBERS))
+
+
 @query(f"""with {P}, {_DEG}, {_proj_sql(LEAST)}, mx as (select max(weight_jaccard) as m from pe), w as materialized (select a, b, weight_jaccard / m as w from pe, mx), dd as (select n, count(*) as d from (select a as n from w union all select b from w) group by n),
     t as (select x.a as i, x.b as j, y.b as k, cbrt(x.w * y.w * z.w) as v from w x join w y on y.a = x.b join w z on z.a = x.a and z.b = y.b), sn as (select n, sum(v) as v from (select i as n, v from t union all select j, v from t union all select k, v from t) group by n)
     select round(coalesce(sum(2 * v / (d * (d - 1))), 0) / (select count(*) from dg), 6) as clustering from sn join dd using (n)""")

@@ -6,11 +6,15 @@ from pyspark.sql import functions as F
 
 from tesselon.functions import text as T
 from tesselon.graph import build, communities
+from tesselon.models.baselines import Popularity
+from tesselon.models.hybrid import CalibratedHybrid
 from tesselon.operators import eda, features, metrics, prep, ranking
 from tesselon.plans import views
 from tesselon.plans.graph_queries import _DEG, _graph, _proj_sql, LEAST
 from tesselon.plans.table_queries import _GENEROSITY, _REVIEWS, scored, six
-from tesselon.plans.views import D, M, P, SEED, V
+from tesselon.plans.views import D, M, P, SEED
+from tesselon.session import store_table
+from tesselon.sources import stores
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -28,7 +32,7 @@ def query(sql: str | None = None):
 
 @query(f"with {P} select parent_asin, round(avg(rating), 6) as mean from tr group by parent_asin")
 def item_means(spark, d):
-    return views.parts(spark, d)[0].groupBy("parent_asin").agg(F.round(F.avg("rating"), 6).alias("mean"))
+    return Popularity().fit(views.parts(spark, d)[0]).item_means.select("parent_asin", F.round("_im", 6).alias("mean"))
 
 
 @query(f"with {P} select parent_asin, count(*) as degree from tr group by parent_asin")
@@ -86,13 +90,7 @@ def metadata_of_interactions(spark, d):
 @query(f"with {P} select count(*) as n from (select user_id, parent_asin from tr union select user_id, parent_asin from te where rating >= 4)")
 def seen_or_relevant(spark, d):
     train, test = views.parts(spark, d)
-    return train.select("user_id", "parent_asin").union(metrics.relevant_items(test)).distinct().agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"with {V} select user_id, parent_asin, count(*) as pos_rows, max(timestamp) as last from v group by all having count(*) > 1")
-def repeated_pairs(spark, d):
-    rows = views.ratings(spark, d)
-    return rows.groupBy("user_id", "parent_asin").agg(F.count(F.lit(1)).alias("pos_rows"), F.max("timestamp").alias("last")).where("pos_rows > 1")
+    return metrics.seen_or_relevant(train, metrics.relevant_items(test)).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"with {D} select user_id, parent_asin, row_number() over (partition by user_id order by timestamp nulls first, parent_asin) as pos, count(*) over (partition by user_id) as cnt from d")
@@ -113,15 +111,19 @@ def induced_subgraph(spark, d):
     return build.induced(edges, nodes.orderBy(F.desc("degree"), "item").limit(80)).select("a", "b", "weight_count")
 
 
-@query("select vec_id as id, i as dim, round(embedding[i + 1]::double, 6) as x from (select * from embeddings order by vec_id limit 10), range(20) r(i)")
+@query("select vec_id as parent_asin, " + ", ".join(f"round(embedding[{i + 1}]::double, 6) as dim_{i}" for i in range(20)) + " from embeddings order by vec_id limit 10")
 def embedding_preview(spark, d):
-    first = spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").limit(10)
-    return first.select(F.col("vec_id").alias("id"), F.posexplode(F.slice("embedding", 1, 20)).alias("dim", "x")).select("id", F.col("dim").cast("bigint").alias("dim"), F.round(F.col("x").cast("double"), 6).alias("x"))
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("parent_asin"), F.col("embedding").alias("vector"))
+    return stores.embedding_preview(vectors).withColumns({f"dim_{i}": F.round(F.col(f"dim_{i}").cast("double"), 6) for i in range(20)})
 
 
-@query("select label, count(*) as n, min(len(embedding)) as least, max(len(embedding)) as most from embeddings group by label")
+@query("select vec_id as parent_asin, len(embedding) as dim, round(list_sum(embedding)::double, 4) as total from embeddings")
 def vector_lengths(spark, d):
-    return spark.read.parquet(f"{d}/embeddings.parquet").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).cast("bigint").alias("least"), F.max(F.size("embedding")).cast("bigint").alias("most"))
+    """Stored vectors as they are loaded, from the second of two folders as the first isn't there."""
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("parent_asin"), F.col("embedding").alias("vector"))
+    folder = store_table(rows).inputFiles()[0].rpartition("/")[0]
+    loaded = stores.load_vector_artifacts(spark, folder + "-none", folder)
+    return loaded.select("parent_asin", F.size("vector").cast("bigint").alias("dim"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
 
 
 @query(f"with {P}, {_DEG} select substr(item, 3, 1) as community, count(*) as size from dg group by 1")
@@ -130,9 +132,11 @@ def community_sizes(spark, d):
     return communities.serialized(nodes.withColumn("community", F.substring("node", 3, 1)))
 
 
-@query(f"with {P} select round(avg(rating), 6) as global_mean, round(stddev_pop(rating), 6) as target_std from tr")
+@query(f"with {P}, im as (select parent_asin, avg(rating) as i from tr group by parent_asin) select round(avg(i), 6) as mean, round(stddev_pop(i), 6) as std, round(stddev_pop(rating), 6) as target_std from tr join im using (parent_asin)")
 def rating_scale(spark, d):
-    return views.parts(spark, d)[0].agg(F.round(F.avg("rating"), 6).alias("global_mean"), F.round(F.stddev_pop("rating"), 6).alias("target_std"))
+    """What a calibrated hybrid keeps of its parts' estimates and of the ratings."""
+    model = CalibratedHybrid(Popularity(), Popularity()).fit(views.parts(spark, d)[0])
+    return model.stats.select(F.round("_fm", 6).alias("mean"), F.round("_fs", 6).alias("std"), F.round("_ts", 6).alias("target_std"))
 
 
 @query("""with e as (select * from events where user_id is not null and ts is not null) select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from e group by all""")

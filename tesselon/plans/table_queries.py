@@ -10,6 +10,7 @@ from tesselon.functions import text as T
 from tesselon.functions.vectors import hash_bucket, hash_embedding
 from tesselon.operators import eda, features, metrics, prep, ranking
 from tesselon.plans import views
+from tesselon.session import store_table
 from tesselon.plans.views import D, M, NEGATIVE, P, POSITIVE, ROOTS, SEED, V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,11 +101,23 @@ def relevant_pairs(spark, d):
 # ---- summaries
 
 
-@query(f"""with {D}, u as (select user_id, count(*) as n from d group by user_id), i as (select parent_asin, count(*) as n from d group by parent_asin)
-    select (select count(*) from d) as kcore_rows, (select count(*) from u) as kcore_users, (select count(*) from i) as kcore_items, round(1 - (select count(*) from d) / ((select count(*) from u) * (select count(*) from i)), 9) as kcore_sparsity,
-    round((select avg(cast(rating >= 4 as int)) from d), 9) as kcore_pct_relevant, (select min(n) from u) as kcore_min_user_degree, (select min(n) from i) as kcore_min_item_degree""")
+def _facts_sql(table: str, prefix: str, more: bool) -> str:
+    users, items = f"(select count(distinct user_id) from {table})", f"(select count(distinct parent_asin) from {table})"
+    out = f"(select count(*) from {table}) as {prefix}_rows, {users} as {prefix}_users, {items} as {prefix}_items, round(1 - (select count(*) from {table}) / ({users} * {items}), 9) as {prefix}_sparsity, (select string_agg(r::varchar || ':' || n, ',' order by r) from (select round_even(rating, 1) as r, count(*) as n from {table} group by 1)) as {prefix}_ratings"
+    least = lambda c: f"(select min(n) from (select count(*) as n from {table} group by {c}))"
+    return out + (f", round((select avg(cast(rating >= 4 as int)) from {table}), 9) as {prefix}_pct_relevant, {least('user_id')} as {prefix}_min_user_degree, {least('parent_asin')} as {prefix}_min_item_degree" if more else "")
+
+
+def _summary(spark, d):
+    dedup = store_table(views.interactions(spark, d))
+    core = prep.k_core(dedup, views.CORE)
+    split = store_table(prep.split_per_user(core, 0.2, SEED))
+    return eda.summarize(_landed(spark, d), views.ratings(spark, d), dedup, core, split.where("part = 'train'"), split.where("part = 'test'"))
+
+
+@query(f"with {D}, {views.core_sql()}, {views.split_sql('core', 's')} select (select count(*) from train) as raw_rows, (select count(*) from v) as valid_rows, {_facts_sql('d', 'dedup', False)}, {_facts_sql('core', 'kcore', True)}, (select count(*) from s where part = 'train') as train_rows, (select count(*) from s where part = 'test') as test_rows")
 def eda_summary(spark, d):
-    return eda.table_facts(views.interactions(spark, d), "kcore").withColumns({c: F.round(c, 9) for c in ("kcore_sparsity", "kcore_pct_relevant")})
+    return _summary(spark, d).withColumns({c: F.round(c, 9) for c in ("dedup_sparsity", "kcore_sparsity", "kcore_pct_relevant")})
 
 
 @query(f"with {D} select round_even(rating, 1) as rating, count(*) as n from d group by 1")
@@ -124,12 +137,9 @@ def metadata_missingness(spark, d):
     return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
 
 
-@query(f"""with {D} select 0 as pos, 'raw_rows' as stage, (select count(*) from train) as n union all select 1, 'valid_rows', (select count(*) from v) union all select 2, 'kcore_rows', (select count(*) from d)""")
+@query(f"""with {D}, {views.core_sql()} select 0 as pos, 'raw_rows' as stage, (select count(*) from train) as n union all select 1, 'valid_rows', (select count(*) from v) union all select 2, 'dedup_rows', (select count(*) from d) union all select 3, 'kcore_rows', (select count(*) from core)""")
 def funnel(spark, d):
-    raw = _landed(spark, d).agg(F.count(F.lit(1)).alias("raw_rows"))
-    valid = views.ratings(spark, d).agg(F.count(F.lit(1)).alias("valid_rows"))
-    last = views.interactions(spark, d).agg(F.count(F.lit(1)).alias("kcore_rows"))
-    return eda.funnel(raw.join(valid, F.lit(True)).join(last, F.lit(True)), ["raw_rows", "valid_rows", "after_dedup", "kcore_rows"])
+    return eda.funnel(_summary(spark, d), ["raw_rows", "valid_rows", "absent", "dedup_rows", "kcore_rows"])
 
 
 @query(f"with {D}, g as (select user_id, count(*) as x from d group by user_id) select count(x) as count, min(x) as min, max(x) as max, round(avg(x), 6) as mean, cast(floor(quantile_cont(x, 0.5)) as bigint) as median, round(stddev_pop(x), 6) as std from g")
@@ -183,10 +193,17 @@ def category_filter(spark, d):
     return views.items(spark, d).select("parent_asin", F.posexplode(_labels()).alias("pos", "category")).withColumn("pos", F.col("pos") + 1)
 
 
-@query(f"with {M} select parent_asin, case when lower(text) like 'in %' then 1 else 0 end as starts_with_root, category from (select parent_asin, text, {_NORM.replace('(x,', '(title,')} as category from m)")
+def _path_sql() -> str:
+    rest = " ".join(f"when starts_with(lower(norm), '{r.lower()} ') then trim(substr(norm, {len(r) + 2}))" for r in sorted(ROOTS, key=lambda r: -len(r)))
+    norm = _NORM.replace("(x,", "(p,")
+    return f"n as (select parent_asin, {norm} as norm from (select parent_asin, {_JOINED} as p from m)), r as (select parent_asin, case {rest} else norm end as category from n)"
+
+
+@query(f"with {M}, {_path_sql()} select parent_asin, category from r where category <> '' and lower(category) not in ({_ROOTS_SQL})")
 def category_path(spark, d):
-    """A flattened path: here the title, whose first word stands for a root."""
-    return views.items(spark, d).select("parent_asin", F.lower("text").startswith("in ").cast("int").alias("starts_with_root"), T.normalize_category(F.col("title")).alias("category"))
+    """Labels of prepared items, whose categories are one flattened text."""
+    prepared = prep.prepare_metadata(views.items(spark, d))
+    return prepared.select("parent_asin", F.explode(T.filter_category_path(F.col("categories"), ROOTS)).alias("category"))
 
 
 @query(f"with {L}, {_VOCAB.format(n=5, m=256)} select category, df, col from vocab")
