@@ -11,6 +11,9 @@ from tesselon.llm.packing import CAPACITY, pack_texts, text_sizes
 from tesselon.llm.similar_vectors import similar_vectors
 from tesselon.llm.splitting import LIMIT, split_texts
 from tesselon.llm.term_counts import term_counts
+from tesselon.operators.ranking import top_per_key
+from tesselon.session import store_table
+from tesselon.sources.stores import search_vectors
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -46,6 +49,21 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return _similar(spark, d)
 
 
+def p3_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether of the 10 neighbours of the rows whose position is divisible by 100, found by comparing with all, at least 0.9 come out."""
+    rows = spark.read.parquet(f"{d}/vector_artifacts.parquet").where(F.size("embeddings") == DIM)
+    first = rows.groupBy("item_ids").agg(F.min("row_pos").alias("id"), F.min_by("embeddings", "row_pos").alias("vector"))
+    usable = store_table(first.where(F.exists("vector", lambda x: x != 0)))
+    asked = usable.where("id % 100 = 0")
+    true = search_vectors(usable.select("id", "vector"), asked.select("id", "vector"), 11).where("query_id <> id").select("query_id", "id", "rank")
+    true = top_per_key(true, ["query_id"], [F.col("rank")], 10, "_r")
+    names = usable.select("id", "item_ids")
+    true = true.join(names.select(F.col("id").alias("query_id"), F.col("item_ids").alias("item")), "query_id").join(names.withColumnRenamed("item_ids", "neighbour"), "id")
+    found = _similar(spark, d).select("item", "neighbour", F.lit(1).alias("_f"))
+    met = true.join(found, ["item", "neighbour"], "left").agg(F.count_distinct("item").alias("queries"), (F.count("_f") / F.count(F.lit(1)) >= 0.9).alias("enough"))
+    return met.select("queries", "enough")
+
+
 def _together(spark: SparkSession, d: str, **limits: float) -> DataFrame:
     train = spark.read.parquet(f"{d}/train.parquet").where("rating is not null").select(clean_key("user_id").alias("u"), clean_key("parent_asin").alias("i")).where("u <> '' and i <> ''")
     return cooccurrence(train, F.col("u"), F.col("i"), **limits)
@@ -80,6 +98,13 @@ def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks(_documents(spark, d), "doc_id", "text", spark.read.parquet(f"{d}/eval_items.parquet"), "item_id", "text")
 
 
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the containers are but 2 % and ten more than the tokens would fill."""
+    placed = pack_texts(_documents(spark, d), "doc_id", "text")
+    held = placed.agg(F.sum("size").alias("tokens"), F.count_distinct(F.when(F.col("size") > 0, F.col("container"))).alias("n"))
+    return held.select("tokens", (F.col("n") <= F.ceil(F.col("tokens") / CAPACITY) * 1.02 + 10).alias("tight"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).select("doc_id", "item_id")
 
@@ -104,7 +129,7 @@ def p8_whole(spark: SparkSession, d: str) -> DataFrame:
     return pieces.groupBy("doc_id").agg(F.max("last_token").alias("tokens"), F.min(kept).alias("kept"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(fresh)), lambda p: p["t"]), "")).alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_neighbours, p4_found, p4_pairs, p6_packing, p6_sizes, p6_placed, p7_found, p7_removal, p8_found, p8_pieces, p8_whole)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_neighbours, p3_recall, p4_found, p4_pairs, p6_packing, p6_sizes, p6_placed, p6_fill, p7_found, p7_removal, p8_found, p8_pieces, p8_whole)}
 
 
 def _chars(text: str) -> str:
@@ -136,10 +161,14 @@ SQL = {
     c as (select a.item as x, b.item as y, list_cosine_similarity(a.v::double[], b.v::double[]) as c from v a join v b on a.item <> b.item),
     k as (select x, y, c from c qualify row_number() over (partition by x order by c desc) <= 10)
     select distinct least(x, y) as item_a, greatest(x, y) as item_b from k where c >= 0.92""",
+    "p3_recall": """
+    with v as (select item_ids, min(row_pos) as id, arg_min(embeddings, row_pos) as v from vector_artifacts where len(embeddings) = 64 group by item_ids)
+    select count(*) as queries, true as enough from v where id % 100 = 0 and list_max(list_transform(v, lambda x: abs(x))) > 0""",
     "p4_found": _PAIRS + "select item_a, item_b from p where weight_count >= 5 and 10 * weight_count >= n_a + n_b - weight_count and weight_count * n_users >= 10 * n_a * n_b",
     "p4_pairs": _PAIRS + "select item_a, item_b, weight_count, n_a, n_b, round(weight_jaccard, 6) as weight_jaccard, round(lift, 4) as lift from p",
     "p6_sizes": f"select doc_id, {_SIZE} as tokens from documents",
     "p6_placed": f"with s as (select doc_id, {_SIZE} as tokens from documents) select doc_id, tokens, greatest(1, cast(ceil(tokens / 2048) as bigint)) as pieces, 0 as overfull from s",
+    "p6_fill": f"select cast(sum({_SIZE}) as bigint) as tokens, true as tight from documents",
     "p8_found": f"select doc_id from documents where {_SIZE} > 512",
     "p8_whole": f"select doc_id, {_SIZE} as tokens, 1 as kept, md5(coalesce(text, '')) as text_md5 from documents",
 }
