@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tesselon.functions import text as T
 from tesselon.functions.vectors import hash_embedding, l2_normalize, let
 from tesselon.operators.prep import keep_one
+from tesselon.session import store_table
 from tesselon.sources import files
 
 NUMERIC = ("price", "average_rating", "rating_number")
@@ -145,7 +146,7 @@ def item_node_features(items: DataFrame, order: Sequence[Column], *, labels: Col
     A group that is switched off is left out, not zeroed. Of repeated items the last in ``order`` is kept. Without
     ``aggregates`` there is no sentiment group; items that lack in it have zeros there before standardising.
     """
-    rows = keep_one(items, "parent_asin", list(order))
+    rows = store_table(keep_one(items, "parent_asin", list(order)))  # read for the vocabulary, the numbers' means and the features
     parts: list[Column] = []
     if use_text:
         parts.append((embedder or (lambda c: hash_embedding(c, dim)))(embed_text(rows)))
@@ -157,7 +158,8 @@ def item_node_features(items: DataFrame, order: Sequence[Column], *, labels: Col
         rows = standardized(rows, NUMERIC)
         parts.append(F.array(*[F.col(c) for c in NUMERIC]))
     if use_item_sentiment and aggregates is not None:
-        rows = rows.join(aggregates.select("parent_asin", *SENTIMENT), "parent_asin", "left").fillna(0.0, subset=list(SENTIMENT))
+        aggregates = store_table(aggregates.select("parent_asin", *SENTIMENT))
+        rows = rows.join(aggregates, "parent_asin", "left").fillna(0.0, subset=list(SENTIMENT))
         rows = standardized(rows, SENTIMENT)
         parts.append(F.array(*[F.col(c) for c in SENTIMENT]))
     return rows.select("parent_asin", l2_normalize(F.concat(*parts) if parts else F.array().cast("array<double>")).alias("features"))

@@ -209,13 +209,8 @@ def graph_category_edges(spark, d):
     return build.category_edges(views.items(spark, d), T.filter_categories(F.col("categories"), ROOTS))
 
 
-@query(f"with {P}, {M}, {_DEG}, {_proj_sql(LEAST)} select a, b, weight_count, round(weight_jaccard, 6) as weight_jaccard from pe where a in (select parent_asin from m) and b in (select parent_asin from m) order by weight_count desc, a, b limit 200")
+@query(f"with {P}, {M}, {_DEG}, {_proj_sql(LEAST)} select a, b, weight_count, round(weight_jaccard, 6) as weight_jaccard from pe where a in (select parent_asin from m) and b in (select parent_asin from m) order by weight_count desc, a, b limit 50000")
 def graph_co_rated_edges(spark, d):
-    return build.co_rated_edges(_graph(spark, d)[1], views.items(spark, d), 200).withColumns(six("weight_jaccard"))
-
-
-@query(SQL["graph_co_rated_edges"].replace("limit 200", "limit 50000"))
-def graph_co_rated_edges_all(spark, d):
     """With the operator's own number of edges."""
     return build.co_rated_edges(_graph(spark, d)[1], views.items(spark, d)).withColumns(six("weight_jaccard"))
 

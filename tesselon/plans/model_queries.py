@@ -93,14 +93,13 @@ def content_predict(spark, d):
 
 
 #: fe(parent_asin, f): embedding, category flags, standardised numbers and sentiment, of length 1.
-_VOC = tq._VOCAB.format(n=5, m=64)
+_VOC = tq._VOCAB.format(n=5, m=256)
 _FE = f"""{_VOC}, ia as (select parent_asin, avg(rating) as r, coalesce(avg(score), 0) as s from ts group by parent_asin),
     s0 as (select m.parent_asin, coalesce(s, 0) as sm, coalesce(r - s, 0) as gp from m left join ia using (parent_asin)),
     s1 as (select parent_asin, [(sm - avg(sm) over ()) / case when stddev_pop(sm) over () = 0 then 1 else stddev_pop(sm) over () end, (gp - avg(gp) over ()) / case when stddev_pop(gp) over () = 0 then 1 else stddev_pop(gp) over () end] as sv from s0),
     mh as (select x.parent_asin, list((case when l.category is null then 0 else 1 end)::double order by x.col) as c from (select parent_asin, category, col from m, vocab) x left join l on l.parent_asin = x.parent_asin and l.category = x.category group by x.parent_asin),
     g0 as (select parent_asin, e || c || [price, average_rating, rating_number] || sv as f from eb join z using (parent_asin) join mh using (parent_asin) join s1 using (parent_asin)),
     fe as materialized (select parent_asin, list_transform(f, lambda x: x / case when list_dot_product(f, f) = 0 then 1 else sqrt(list_dot_product(f, f)) end) as f from g0)"""
-_FE_ALL = _FE.replace(_VOC, tq._VOCAB.format(n=5, m=256))
 _LABELS = L[len(M) + 2 :]
 
 
@@ -111,12 +110,6 @@ def _enriched(spark, d, train, max_vocab=256):
 
 @query(f"with {P}, {M}, {_REVIEWS}, {_GENEROSITY}, {_LABELS}, {_E}, {MEANS}, {_FT}, {_FE}, {_content_sql('te', 'ce', 'coalesce(o.off, 0)', 'fe', 'left join o using (user_id)')} select user_id, parent_asin, round(est, 5) as est from ce")
 def content_enriched_predict(spark, d):
-    train, test = views.parts(spark, d)
-    return _enriched(spark, d, train, 64).fit(train, views.items(spark, d)).predict(test).select("user_id", "parent_asin", F.round("est", 5).alias("est"))
-
-
-@query(f"with {P}, {M}, {_REVIEWS}, {_GENEROSITY}, {_LABELS}, {_E}, {MEANS}, {_FT}, {_FE_ALL}, {_content_sql('te', 'ce', 'coalesce(o.off, 0)', 'fe', 'left join o using (user_id)')} select user_id, parent_asin, round(est, 5) as est from ce")
-def content_enriched_predict_all(spark, d):
     """With the operator's own size of vocabulary."""
     train, test = views.parts(spark, d)
     return _enriched(spark, d, train).fit(train, views.items(spark, d)).predict(test).select("user_id", "parent_asin", F.round("est", 5).alias("est"))
@@ -130,11 +123,6 @@ def _node_features(spark, d, max_vocab):
 
 @query(f"with {P}, {M}, {_REVIEWS}, {_LABELS}, {_E}, {_FT}, {_FE} select parent_asin, pos, round(x, 5) as x from (select parent_asin, unnest(f) as x, generate_subscripts(f, 1) as pos from fe)")
 def item_node_features(spark, d):
-    return _node_features(spark, d, 64)
-
-
-@query(f"with {P}, {M}, {_REVIEWS}, {_LABELS}, {_E}, {_FT}, {_FE_ALL} select parent_asin, pos, round(x, 5) as x from (select parent_asin, unnest(f) as x, generate_subscripts(f, 1) as pos from fe)")
-def item_node_features_all(spark, d):
     """With the operator's own size of vocabulary."""
     return _node_features(spark, d, 256)
 
@@ -170,22 +158,12 @@ def hybrid_blend(spark, d):
     return _est(WeightedHybrid(*_blend_parts(), alpha=0.3).fit(train, _text_items(spark, d)).predict(test))
 
 
-_CAL = f"""cr as materialized (select * from tr order by md5('{SEED}|' || user_id || '|' || parent_asin), user_id, parent_asin limit 2000), {_content_sql('cr', 'cc')}, {_knn_sql('cr', 'ck')},
+_CAL = f"""cr as materialized (select * from tr), {_content_sql('cr', 'cc')}, {_knn_sql('cr', 'ck')},
     st as (select avg(ck.est) as fm, stddev_pop(ck.est) as fs, avg(cc.est) as cm, stddev_pop(cc.est) as cs, stddev_pop(ck.rating) as t from ck join cc using (user_id, parent_asin))"""
 
 
 @query(f"{_HEAD}, {_BOTH}, {_CAL} select user_id, parent_asin, round({_CLIP.format('0.4 * (g + (kn.est - fm) / fs * t) + 0.6 * (g + (ce.est - cm) / cs * t)')}, 5) as est from kn join ce using (user_id, parent_asin), st, gm")
 def calibrated_hybrid(spark, d):
-    train, test = views.parts(spark, d)
-    model = CalibratedHybrid(*_blend_parts(), alpha=0.4, calibration_max_rows=2000, seed=SEED).fit(train, _text_items(spark, d))
-    return model.predict(test).select("user_id", "parent_asin", F.round("est", 5).alias("est"))
-
-
-_CAL_ALL = _CAL.replace(f" order by md5('{SEED}|' || user_id || '|' || parent_asin), user_id, parent_asin limit 2000)", ")")
-
-
-@query(f"{_HEAD}, {_BOTH}, {_CAL_ALL} select user_id, parent_asin, round({_CLIP.format('0.4 * (g + (kn.est - fm) / fs * t) + 0.6 * (g + (ce.est - cm) / cs * t)')}, 5) as est from kn join ce using (user_id, parent_asin), st, gm")
-def calibrated_hybrid_all(spark, d):
     """Calibrated on all training rows, as the class does unless told otherwise."""
     train, test = views.parts(spark, d)
     model = CalibratedHybrid(*_blend_parts(), alpha=0.4, seed=SEED).fit(train, _text_items(spark, d))

@@ -13,15 +13,15 @@ from tesselon.sources.stores import GraphStore
 
 
 def test_calibration_takes_all_training_rows(spark, monkeypatch):
-    assert "limit 2000" not in model_queries.SQL["calibrated_hybrid_all"]
-    check(spark, model_queries, "calibrated_hybrid_all")
+    assert "limit 2000" not in model_queries.SQL["calibrated_hybrid"]
+    check(spark, model_queries, "calibrated_hybrid")
     made = {}
     monkeypatch.setattr(model_queries, "evaluate_models", lambda models, *a, **k: made.update(models))
     model_queries.evaluate_all(spark, "/root/testdata/sf0.001")
     assert made["calibrated_hybrid"].max_rows is None
 
 
-@pytest.mark.parametrize(("module", "name"), [(table_queries, "category_multi_hot_all"), (model_queries, "content_enriched_predict_all"), (model_queries, "item_node_features_all")])
+@pytest.mark.parametrize(("module", "name"), [(table_queries, "category_multi_hot"), (model_queries, "content_enriched_predict"), (model_queries, "item_node_features")])
 def test_whole_vocabulary_equals_its_sql(spark, module, name):
     check(spark, module, name)
 
@@ -31,7 +31,7 @@ def test_vocabulary_is_the_operators(spark, monkeypatch):
     rows = [(f"i{k:04d}", f"t{k}", [f"Label{k % 300}"], None, None, None, None) for k in range(1500)]
     items = spark.createDataFrame(rows, "parent_asin string, title string, categories array<string>, store string, price double, average_rating double, rating_number bigint")
     monkeypatch.setattr(views, "items", lambda spark, d: items)
-    assert table_queries.category_multi_hot_all(spark, "").select("category").distinct().count() == 256
+    assert table_queries.category_multi_hot(spark, "").select("category").distinct().count() == 256
     asked = []
     monkeypatch.setattr(model_queries, "scored", lambda *a: None)
     for name in ("item_aggregates", "user_aggregates", "generosity"):
@@ -43,8 +43,8 @@ def test_vocabulary_is_the_operators(spark, monkeypatch):
 
 
 def test_co_rated_edges_equal_their_sql(spark):
-    assert "limit 50000" in graph_queries.SQL["graph_co_rated_edges_all"]
-    check(spark, graph_queries, "graph_co_rated_edges_all")
+    assert "limit 50000" in graph_queries.SQL["graph_co_rated_edges"]
+    check(spark, graph_queries, "graph_co_rated_edges")
 
 
 def test_all_co_rated_edges_are_kept_and_ingested(spark, tmp_path, monkeypatch):
@@ -61,7 +61,7 @@ def test_all_co_rated_edges_are_kept_and_ingested(spark, tmp_path, monkeypatch):
     assert edges.count() > 200
     monkeypatch.setattr(graph_queries, "_graph", lambda *a: (None, edges))
     monkeypatch.setattr(views, "items", lambda *a: edges.selectExpr("explode(array(a, b)) parent_asin").distinct())
-    assert graph_queries.graph_co_rated_edges_all(spark, "").count() == edges.count()
+    assert graph_queries.graph_co_rated_edges(spark, "").count() == edges.count()
 
 
 def test_evaluate_makes_every_model_of_a_set(spark, tmp_path, monkeypatch):
