@@ -16,6 +16,8 @@ from tesselon.sources import files
 
 #: Query vectors that one block of a search holds, and the most queries that are sent to all tasks at once.
 QUERY_BLOCK = 2_000
+#: Cosines that a task computes at once.
+CELLS = 4_000_000
 
 
 class VectorStore:
@@ -44,7 +46,7 @@ def search_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, block: i
     """``(query_id, rank, id, sim)``: the ``k`` vectors with the greatest cosine to each query, ties by id; exact.
 
     ``queries`` is a stated set. Blocks of ``block`` queries are broadcast one after the other, so the driver never holds
-    more than one; every vector is compared with every query there and only about ``k`` rows a query leave a batch. Null
+    more than one; every vector is compared with every query there, ``CELLS`` cosines at a time, of which only about ``k`` a query leave the task. Null
     and all-zero vectors, and those of another length than the query, match nothing. Both tables have ``id`` and ``vector``.
     """
     if k < 1:
@@ -73,14 +75,16 @@ def search_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, block: i
                     fits = np.flatnonzero(np.diff(offsets) == matrix.shape[1])
                     if not len(fits):
                         continue
-                    x = batch.column(1).values.to_numpy()[offsets[fits][:, None] + np.arange(matrix.shape[1])]
-                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    sims = matrix @ x.T
-                    keep = min(k, len(fits))
-                    # all that tie with the last kept one stay, so that ties are decided by id later
-                    least = -np.partition(-sims, keep - 1, axis=1)[:, keep - 1 : keep]
-                    q, r = np.nonzero(sims >= least)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), batch.column(0).take(pa.array(fits[r], pa.int64())), pa.array(sims[q, r], pa.float64())], ["query_id", "id", "sim"])
+                    step = max(k, CELLS // len(ids))
+                    for own in (fits[i : i + step] for i in range(0, len(fits), step)):
+                        x = batch.column(1).values.to_numpy()[offsets[own][:, None] + np.arange(matrix.shape[1])]
+                        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                        sims = matrix @ x.T
+                        keep = min(k, len(own))
+                        # all that tie with the last kept one stay, so that ties are decided by id later
+                        least = -np.partition(-sims, keep - 1, axis=1)[:, keep - 1 : keep]
+                        q, r = np.nonzero(sims >= least)
+                        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), batch.column(0).take(pa.array(own[r], pa.int64())), pa.array(sims[q, r], pa.float64())], ["query_id", "id", "sim"])
 
         found = rows.mapInArrow(best, f"query_id {asks}, id {kind}, sim double")
         return top_per_key(found, ["query_id"], [F.desc("sim"), F.col("id")], k).select("query_id", "rank", "id", "sim")
