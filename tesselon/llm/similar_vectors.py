@@ -112,7 +112,7 @@ def fitted(x: np.ndarray, y: np.ndarray, n: int, dim: int, share: float, dims: S
         tables = tables_for(x, y, dim, own, tries, share)
         if tables is not None:
             return tables, own, tries
-        if dims is not None or (own == [1] and tries > 1):
+        if dims is not None or own == [1]:
             raise ValueError(f"with hashes over {own} coordinates and {tries} probes, {TABLES_MOST} tables find too few neighbours")
         wanted /= 2
 

@@ -188,6 +188,8 @@ def test_tables_are_as_many_as_the_sample_needs(spark):
     assert np.prod([2 * d for d in d2]) < np.prod([2 * d for d in d1])
     with pytest.raises(ValueError):
         fitted(*far, n, 64, 0.999, [64, 64], 1)
+    with pytest.raises(ValueError):  # a vector and its opposite share no bucket of either of two, looked for in one
+        fitted(a, -a, 100, 64, 1.0, None, 1)
     got = similar_vectors(df, F.col("id").cast("string"), F.col("v"), F.col("id"), 64, 5, large=300).collect()
     found = defaultdict(set)
     for r in got:
