@@ -148,6 +148,91 @@ def test_learned_models_keep_their_promises(spark, blocks, items, tmp_path):
         GraphSAGE(features, feature_set="nothing")
 
 
+def _graph_rows(seed):
+    """Vertices (id, features), edges and rows of a made-up graph; users are 0 to 29 with two features, items 30 to 49 with six."""
+    rng = np.random.default_rng(seed)
+    x = np.zeros((50, 6))
+    x[:30, :2], x[30:] = rng.normal(size=(30, 2)), rng.normal(size=(20, 6)) * (rng.random((20, 6)) < 0.6)
+    pairs = sorted({(int(u), int(i)) for u, i in zip(rng.integers(0, 30, 150), rng.integers(30, 50, 150), strict=True)})
+    return x, pairs, [(u, i, float(rng.integers(1, 6))) for u, i in pairs[:90]]
+
+
+def _batches(x, pairs, rows, size):
+    import pyarrow as pa
+
+    table = [(0, k, None, None, np.flatnonzero(v).astype(np.int32), v[v != 0]) for k, v in enumerate(x)]
+    table += [(1, *e, None, None, None) for e in sorted(pairs + [(i, u) for u, i in pairs])] + [(2, *r, None, None) for r in sorted(rows)]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64()))
+    for low in range(0, len(table), size):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*table[low : low + size], strict=True), kinds, strict=True)], list("pabrvx"))
+
+
+@pytest.mark.parametrize("loss", ["mse", "bpr"])
+@pytest.mark.parametrize("layers", [1, 2, 3])
+def test_graphsage_steps_equal_those_of_the_whole_graph(loss, layers, monkeypatch):
+    """One step's slopes against differences of the loss over the whole graph, whose first layer isn't prepared."""
+    from tesselon.models import graphsage
+
+    x, pairs, rows = _graph_rows(5)
+    near = np.zeros((50, 50))
+    for u, i in pairs:
+        near[u, i] = near[i, u] = 1
+    near /= np.maximum(1, near.sum(axis=1))[:, None]
+    options = {"size": 6, "width": 2, "first_item": 30, "loss": loss, "hidden": 4, "layers": layers, "epochs": 1, "lr": 0.01, "decay": 0.0, "negatives": 1, "seed": 3, "positive_from": 4.0}
+    seen = []
+    monkeypatch.setattr(graphsage.Layers, "step", lambda self, slopes, lr, decay: seen.append((self, slopes)))
+    for bounds in ((16384, 200_000), (7, 5)):
+        monkeypatch.setattr(graphsage, "BLOCK", bounds[0])
+        monkeypatch.setattr(graphsage, "EDGES", bounds[1])
+        graphsage.learned(_batches(x, pairs, rows, 11), **options)
+    drawn = []
+    if loss == "bpr":
+        rng = np.random.default_rng(3)
+        graphsage.Layers(6, 4, layers, False, rng)
+        good, pool, taken = [r for r in sorted(rows) if r[2] >= 4], np.unique([i for _, i, _ in rows]), set(pairs)
+        n = rng.choice(pool, len(good))
+        while (bad := np.array([(u, k) in taken for (u, _, _), k in zip(good, n.tolist(), strict=True)])).any():
+            n[bad] = rng.choice(pool, int(bad.sum()))
+        drawn = [(u, i, k) for (u, i, _), k in zip(good, n.tolist(), strict=True)]
+
+    def error(w):
+        h = x
+        for k in range(layers):
+            h = np.maximum(h @ w[3 * k] + near @ h @ w[3 * k + 1] + w[3 * k + 2], 0)
+        if loss == "bpr":
+            return np.mean([np.log1p(np.exp(-h[u] @ (h[i] - h[k]))) for u, i, k in drawn])
+        u, i, r = (np.array(c) for c in zip(*rows, strict=True))
+        a, b, c, d = w[-4:]
+        return np.mean(((np.maximum(np.concatenate((h[u], h[i]), axis=1) @ a + b, 0) @ c + d)[:, 0] - r) ** 2)
+
+    assert len(seen) == 2
+    for net, slopes in seen:
+        w = [v.copy() for v in net.w]
+        for v, g in zip(w, slopes, strict=True):
+            assert v.shape == g.shape
+            for at in list(np.ndindex(v.shape))[::3]:
+                old = v[at]
+                v[at] = old + 1e-6
+                high = error(w)
+                v[at] = old - 1e-6
+                low, v[at] = error(w), old
+                assert g[at] == pytest.approx((high - low) / 2e-6, rel=2e-3, abs=2e-5)
+
+
+@pytest.mark.parametrize("loss", ["mse"])
+def test_graphsage_learns_without_features_on_the_driver(spark, blocks, items, monkeypatch, loss):
+    """Neither Arrow tables nor rows with features come to the driver: its results are a few numbers beside the weights."""
+    sent = []
+    kind = type(blocks)
+    collect = kind.collect
+    monkeypatch.setattr(kind, "toArrow", lambda self: sent.append("toArrow"))
+    monkeypatch.setattr(kind, "collect", lambda self: sent.append(self.columns) or collect(self))
+    features = items.select("parent_asin", F.array(F.col("price") / 8, F.lit(1.0)).alias("features"))
+    model = GraphSAGE(features, loss, hidden=4, epochs=2).fit(blocks, items)
+    assert sum("shape" in c for c in sent) == 1 and "toArrow" not in sent and not any({"v", "features", "x"} & set(c) for c in sent)
+    assert model.fit(blocks.limit(0), items).predict(blocks.limit(0)).count() == 0
+
+
 def test_graphsage_learns_ratings(spark):
     """A rating depends on the item's colour and on the user's mood, which shows in the mean of their ratings; held-out rows."""
     rng = random.Random(6)
