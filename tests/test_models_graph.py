@@ -148,6 +148,45 @@ def test_learned_models_keep_their_promises(spark, blocks, items, tmp_path):
         GraphSAGE(features, feature_set="nothing")
 
 
+@pytest.mark.parametrize("negatives", [1, 2])
+def test_lightgcn_in_a_task_equals_its_rounds(spark, monkeypatch, negatives):
+    """Equal vectors either way; user a has rated every item but one and user z every item; a task runs as many jobs for more epochs."""
+    from tesselon.models import lightgcn
+
+    rng = random.Random(8)
+    rows = [(f"u{u:02d}", f"i{i}", float(rng.randint(2, 5)), i) for u in range(20) for i in rng.sample(range(12), 5)]
+    rows += [("a", f"i{i}", 5.0, i) for i in range(11)] + [("z", f"i{i}", 5.0, i) for i in range(12)]
+    train = frame(spark, rows)
+    fit = lambda epochs=3: lightgcn.LightGCN(dim=4, epochs=epochs, lr=0.05, weight_decay=0.01, negatives=negatives).fit(train)
+    vectors = lambda m: {(r[0], k): v for k, r in enumerate(sorted(m.users.collect()) + sorted(m.items.collect())) for v in [r[1]]}
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    jobs = []
+    for epochs in (1, 3):
+        context.setJobGroup(f"epochs {epochs}", "")
+        one = fit(epochs)
+        jobs.append(len(tracker.getJobIdsForGroup(f"epochs {epochs}")))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs[0] and jobs[1] <= jobs[0] + 2
+    monkeypatch.setattr(lightgcn, "TASK_NUMBERS", 0)
+    other = fit()
+    want, got = vectors(other), vectors(one)
+    assert want.keys() == got.keys() and all(got[k] == pytest.approx(want[k], rel=1e-7, abs=1e-10) for k in want)
+    assert (one.beta, one.intercept) == pytest.approx((other.beta, other.intercept), rel=1e-6)
+
+
+def test_lightgcn_draws_equal_those_of_spark(spark):
+    from tesselon.models.lightgcn import drawn_negatives, hash_unit, hashed_unit, negative_items
+
+    ids = np.array([0, 1, 7, 2**40, 123456789012345], np.int64)
+    got = [r[0] for r in spark.createDataFrame([(int(i),) for i in ids], "id bigint").select(hash_unit(F.col("id"), F.col("id") + 1, F.lit(3), 42).alias("x")).collect()]
+    assert hashed_unit(ids, ids + 1, 3, 42).tolist() == got
+    pairs = sorted({(u, 6 + i) for u in range(6) for i in range(8) if u == 5 or (u * i + u) % (u + 2) != 1 or (u == 0 and i)})
+    df = spark.createDataFrame(pairs, "src bigint, dst bigint")
+    src, dst = (np.array(c) for c in zip(*pairs, strict=True))
+    drawn = sorted(zip(*(x.tolist() for x in drawn_negatives(src, dst, 6, 8, 9, 3)), strict=True))
+    assert drawn == sorted(map(tuple, negative_items(df, 6, 8, 9, 3).collect()))
+
+
 def _graph_rows(seed):
     """Vertices (id, features), edges and rows of a made-up graph; users are 0 to 29 with two features, items 30 to 49 with six."""
     rng = np.random.default_rng(seed)
