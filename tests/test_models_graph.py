@@ -297,6 +297,25 @@ def test_evaluation(spark, blocks, tmp_path):
         build_models("nothing", {})
 
 
+def test_evaluation_by_parts_of_users_leaves_rows_only(spark, blocks, monkeypatch):
+    """A model gets bounded parts that together are all pairs, equal figures come out, and no later read computes anything."""
+    from tesselon.models import evaluate
+
+    rows = sorted(map(tuple, blocks.collect()))
+    train, test = frame(spark, rows[::2]), frame(spark, rows[1::2])
+    run = lambda: evaluate_models({"a": Popularity(), "perfect": Constant(5.0)}, train, test, None, k=3, negatives=4)
+    whole = [r.asDict() for r in run().collect()]
+    asked = []
+    predict = Popularity.predict
+    monkeypatch.setattr(evaluate, "PART_ROWS", 20)
+    monkeypatch.setattr(Popularity, "predict", lambda self, pairs: asked.append(pairs.select("user_id", "parent_asin").collect()) or predict(self, pairs))
+    out = run()
+    assert len(asked) > 2 and sorted(r for part in asked for r in part) == sorted(test.select("user_id", "parent_asin").collect())
+    assert all("Exchange" not in line for line in out._jdf.queryExecution().executedPlan().toString().splitlines())
+    for got, want in zip([r.asDict() for r in out.collect()], whole, strict=True):
+        assert got == pytest.approx(want)
+
+
 # ---- graphs
 
 
