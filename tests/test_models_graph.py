@@ -272,6 +272,46 @@ def test_graphsage_learns_without_features_on_the_driver(spark, blocks, items, m
     assert model.fit(blocks.limit(0), items).predict(blocks.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("loss", ["mse", "bpr"])
+def test_graphsage_learns_from_all_edges_and_neighbours(spark, loss):
+    """The weights are those learned from the whole graph at hand, in which vertices have up to 100 neighbours."""
+    from tesselon.models.graphsage import learned
+    from tesselon.operators.prep import split_validation
+
+    rng = np.random.default_rng(4)
+    pairs = sorted({(int(u), 100 + int(i)) for u, i in zip(rng.integers(0, 100, 900), rng.integers(0, 20, 900), strict=True)} | {(u, 100) for u in range(100)})
+    rated = {p: float(rng.integers(1, 6)) for p in pairs}
+    train = frame(spark, [(f"u{u:03d}", f"i{i:03d}", r, k) for k, ((u, i), r) in enumerate(rated.items())])
+    x = np.zeros((120, 5))
+    x[100:] = rng.normal(size=(20, 5))
+    for u in range(100):
+        own = np.array([r for (k, _), r in rated.items() if k == u])
+        x[u, :3] = own.mean(), len(own), (own >= 4).mean()
+    features = spark.createDataFrame([(f"i{100 + k:03d}", v.tolist()) for k, v in enumerate(x[100:])], "parent_asin string, features array<double>")
+    model = GraphSAGE(features, loss, hidden=4, epochs=2)
+    assert model.sample is None and model.fan_out is None
+    rows, edges = [(*p, r) for p, r in rated.items()], pairs
+    if loss == "bpr":
+        kept = split_validation(train, model.fraction).where("part = 'train'").collect()
+        rows, edges = [(int(r["user_id"][1:]), int(r["parent_asin"][1:]), r["rating"]) for r in kept], [p for p in pairs if rated[p] >= 4]
+    want = learned(_batches(x, edges, rows, 10_000), size=5, width=3, first_item=100, loss=loss, hidden=4, layers=2, epochs=2, lr=model.lr, decay=0.0, negatives=1, seed=model.seed, positive_from=4.0)
+    got = model.fit(train).net
+    assert len(got.w) == len(want.w) and all(np.allclose(a, b, rtol=1e-3, atol=1e-5) for a, b in zip(got.w, want.w, strict=True))
+
+
+def test_sums_over_edges(monkeypatch):
+    from tesselon.models import graphsage
+
+    rng = np.random.default_rng(1)
+    n = rng.permutation(np.concatenate((np.zeros(5, np.int64), rng.integers(1, 5, 40), [150, 64, 65])))
+    ptr, rows = np.concatenate(([0], np.cumsum(n))), rng.normal(size=(30, 3))
+    at = rng.integers(0, 30, ptr[-1])
+    for edges in (200_000, 7):
+        monkeypatch.setattr(graphsage, "EDGES", edges)
+        got = graphsage._Sums(ptr, at)(rows)
+        assert np.allclose(got, [rows[at[a:b]].sum(axis=0) for a, b in zip(ptr[:-1], ptr[1:], strict=True)])
+
+
 def test_graphsage_learns_ratings(spark):
     """A rating depends on the item's colour and on the user's mood, which shows in the mean of their ratings; held-out rows."""
     rng = random.Random(6)
