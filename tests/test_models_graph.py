@@ -356,6 +356,28 @@ def test_evaluation_by_parts_of_users_leaves_rows_only(spark, blocks, monkeypatc
         assert got == pytest.approx(want)
 
 
+def test_blends_are_evaluated_with_their_parts_estimates(spark, blocks, monkeypatch):
+    """Parts estimate test rows and candidates once, beside the calibration, and the figures are those of each model alone."""
+    from tesselon.models import evaluate
+
+    rows = sorted(map(tuple, blocks.collect()))
+    train, test = frame(spark, rows[::2]), frame(spark, rows[1::2])
+
+    def models():
+        cf, content = ItemKNN(), Popularity()
+        return {"cf": cf, "alone": Constant(5.0), "hybrid": WeightedHybrid(cf, content), "calibrated": CalibratedHybrid(cf, content), "popularity": content}
+
+    assert evaluate._groups(models()) == [["cf", "hybrid", "calibrated", "popularity"], ["alone"]]
+    want = [r.asDict() for name in models() for r in evaluate_models({name: models()[name]}, train, test, None, k=3, negatives=4).collect()]
+    calls = []
+    predict = ItemKNN.predict
+    monkeypatch.setattr(ItemKNN, "predict", lambda self, pairs: calls.append(1) or predict(self, pairs))
+    got = [r.asDict() for r in evaluate_models(models(), train, test, None, k=3, negatives=4).collect()]
+    assert len(calls) == 3 and [r["model"] for r in got] == list(models())
+    for a, b in zip(got, want, strict=True):
+        assert a == pytest.approx(b)
+
+
 # ---- graphs
 
 
